@@ -1,2 +1,55 @@
-def scoring_features(df):
-    return df
+"""Pre-match scoring features on the wide table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from duelframe.functions.coerce import optional
+from duelframe.functions.probability import NEUTRAL, clip, prematch
+
+
+def history_or_neutral(df: DataFrame, value: str, flag: str) -> Column:
+    """The rate when its history flag is set, else 0.5."""
+    return F.when(optional(df, flag, 0) == 1, F.coalesce(optional(df, value, NEUTRAL, "double"), F.lit(NEUTRAL))).otherwise(
+        F.lit(NEUTRAL)
+    )
+
+
+def serve_points(df: DataFrame, clipped: bool = False) -> tuple[Column, Column]:
+    """P(A wins a point on serve) and the same for B, from serve and return history."""
+
+    def rate(kind: str, side: str) -> Column:
+        name = "service" if kind == "serve" else "return"
+        value = history_or_neutral(df, f"{name}_points_won_pct_30_{side}", f"has_{kind}_history_{side}")
+        return clip(value) if clipped else value
+
+    p_a = (rate("serve", "a") + (1.0 - rate("return", "b"))) / 2.0
+    p_b = (rate("serve", "b") + (1.0 - rate("return", "a"))) / 2.0
+    return (clip(p_a), clip(p_b)) if clipped else (p_a, p_b)
+
+
+def scoring_features(wide: DataFrame) -> DataFrame:
+    p_a, p_b = serve_points(wide)
+    # the two inputs are columns of their own, so the long sums refer to them
+    df = wide.select("*", p_a.alias("_p_a"), p_b.alias("_p_b")).select(
+        "*", prematch(F.col("_p_a"), F.col("_p_b"), optional(wide, "best_of", 3.0)).alias("_win_a")
+    )
+
+    def both(flag: str) -> Column:
+        return ((optional(wide, f"{flag}_a", 0) == 1) & (optional(wide, f"{flag}_b", 0) == 1)).cast("int")
+
+    return df.select(
+        *wide.columns,
+        F.coalesce(both("has_serve_history"), F.lit(0)).alias("has_serve_history"),
+        F.coalesce(both("has_return_history"), F.lit(0)).alias("has_return_history"),
+        F.col("_win_a").alias("markov_match_win_prob_a"),
+        (1.0 - F.col("_win_a")).alias("markov_match_win_prob_b"),
+        (2.0 * F.col("_win_a") - 1.0).alias("delta_markov_match_win"),
+    )
+
+
+def start_state_probability(wide: DataFrame) -> Column:
+    """Scoring probability at the start of a match, with inputs rounded to four places."""
+    p_a, p_b = serve_points(wide, clipped=True)
+    return prematch(F.round(p_a, 4), F.round(p_b, 4), optional(wide, "best_of", 3.0))
