@@ -84,7 +84,9 @@ def require(df: DataFrame, columns: Iterable[str], what: str) -> None:
 
 def places(name: str) -> int:
     """Decimals kept in a compared result: ratings accumulate rounding noise over long chains."""
-    return 6 if "elo" in name or "surface_advantage" in name else 9
+    if "elo" in name or "surface_advantage" in name:
+        return 6
+    return 10 if name in ("min", "max", "mean") else 9
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -124,14 +124,6 @@ def match_win(set_prob: Column, best_of: Column) -> Column:
     return bound(F.when(long_match, five).otherwise(three))
 
 
-def prematch(p_a: Column, p_b: Column, best_of: Column) -> Column:
-    """P(A wins) before the match, averaged over who serves first."""
-    p_a, p_b = clip(p_a), clip(p_b)
-    hold_a, hold_b = hold(p_a), hold(p_b)
-    both = [match_win(set_win(hold_a, hold_b, p_a, p_b, first), best_of) for first in (True, False)]
-    return bound((both[0] + both[1]) / 2.0)
-
-
 def count_problem(won: Column, played: Column) -> Column:
     """Why observed counts cannot be used, or null."""
     return F.when((won < 0) | (played < 0), F.lit("negative count")).when(won > played, F.lit("won exceeds played"))

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from duelframe.session import spool
 
-BLOCK = "_block"
-POS = "_pos"
+BLOCK = "_order_block"
+POS = "_order_at"
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Range-partitioned, sorted and written copy with ``_block`` and ``_pos``.
+    """Range-partitioned, sorted and written copy with a block and a position.
 
-    ``_pos`` grows along ``order`` over the whole table. The copy is written
+    The position grows along ``order`` over the whole table. The copy is written
     because range bounds are sampled and may differ on recomputation.
     """
     placed = (
@@ -33,15 +33,25 @@ def ordered_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return spool(placed, "blocks")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the keys of the right side are dropped."""
+    renamed = right.toDF(*[f"_r_{c}" if c in keys else c for c in right.columns])
+    same = None
+    for k in keys:
+        match = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        same = match if same is None else same & match
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _offsets(blocks: DataFrame, group: Sequence[str], totals: list) -> DataFrame:
     """Totals of all earlier blocks of the same group (one row per group and block)."""
-    per_block = blocks.groupBy(*group, BLOCK).agg(F.min(POS).alias("_first"), *totals)
+    per_block = blocks.groupBy(*group, BLOCK).agg(F.min(POS).alias("_order_first"), *totals)
     earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    names = [c for c in per_block.columns if c not in (*group, BLOCK, "_first")]
+    names = [c for c in per_block.columns if c not in (*group, BLOCK, "_order_first")]
     return per_block.select(
         *group,
         BLOCK,
-        "_first",
+        "_order_first",
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names],
     )
 
@@ -54,13 +64,13 @@ def global_index(
     ``order`` must identify rows; ties are placed arbitrarily but once only.
     """
     blocks = ordered_blocks(df, [*group, *order])
-    offsets = _offsets(blocks, group, [F.count(F.lit(1)).alias("_before")])
+    offsets = _offsets(blocks, group, [F.count(F.lit(1)).alias("_order_before")])
     if not group:  # one row per block, so bounded by the number of partitions
         offsets = F.broadcast(offsets)
     return (
-        blocks.join(offsets, [*group, BLOCK])
-        .withColumn(name, F.col("_before") + F.col(POS) - F.col("_first"))
-        .drop(BLOCK, POS, "_first", "_before")
+        join_null_safe(blocks, offsets, [*group, BLOCK])
+        .withColumn(name, F.col("_order_before") + F.col(POS) - F.col("_order_first"))
+        .drop(BLOCK, POS, "_order_first", "_order_before")
     )
 
 
@@ -76,9 +86,8 @@ def running_total(
     inside = (
         Window.partitionBy(*group, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = blocks.select(
-        "*", *[F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_in_{new}") for new, src in values.items()]
-    ).join(offsets, [*group, BLOCK])
+    inner = [F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_in_{new}") for new, src in values.items()]
+    out = join_null_safe(blocks.select("*", *inner), offsets, [*group, BLOCK])
     for new in values:
         out = out.withColumn(new, F.col(f"_off_{new}") + F.col(f"_in_{new}"))
     return out.select(*df.columns, *values)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.ordering import global_index
+from duelframe.operators.ordering import global_index, join_null_safe
 from duelframe.session import spool
 
 HEAVY_ROWS = 2_000_000
@@ -136,7 +136,7 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
             elif name.startswith("_cl_"):
                 carry_columns.append(F.last(name, ignorenulls=True).over(earlier).alias(name))
         carry = per_chunk.select(*keys, "_chunk", *carry_columns)
-        out = out.join(carry, [*keys, "_chunk"])
+        out = join_null_safe(out, carry, [*keys, "_chunk"])
         zero = F.lit(0)
         for m in unbounded:
             count = F.coalesce(F.col(f"_cn_{m.out}"), zero) + F.coalesce(F.col(f"_n_{m.out}"), zero) \
@@ -176,7 +176,7 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
                 columns.append(F.when(count >= m.at_least, F.try_divide(total, count)).alias(m.out))
             else:
                 columns.append(total.alias(m.out))
-        out = out.join(per_day.select(*keys, day, *columns), [*keys, day], "left")
+        out = join_null_safe(out, per_day.select(*keys, day, *columns), [*keys, day], "left")
 
     return out.select(*df.columns, *[m.out for m in measures])
 

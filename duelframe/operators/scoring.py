@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.coerce import optional
-from duelframe.functions.probability import NEUTRAL, clip, prematch
+from duelframe.functions.probability import NEUTRAL, bound, clip, hold, match_win, set_win
 
 
 def history_or_neutral(df: DataFrame, value: str, flag: str) -> Column:
@@ -29,12 +29,28 @@ def serve_points(df: DataFrame, clipped: bool = False) -> tuple[Column, Column]:
     return (clip(p_a), clip(p_b)) if clipped else (p_a, p_b)
 
 
+def with_prematch(df: DataFrame, p_a: Column, p_b: Column, best_of: Column, out: str) -> DataFrame:
+    """Add P(A wins) before the match, averaged over who serves first.
+
+    Each step is a column of its own: the sums use their inputs many times, and
+    nesting them would copy whole expressions.
+    """
+    c = F.col
+    staged = (
+        df.select("*", clip(p_a).alias("_pa"), clip(p_b).alias("_pb"), best_of.alias("_sets"))
+        .select("*", clip(hold(c("_pa"))).alias("_ha"), clip(hold(c("_pb"))).alias("_hb"))
+        .select("*", *[
+            clip(set_win(c("_ha"), c("_hb"), c("_pa"), c("_pb"), first)).alias(f"_set_{n}")
+            for n, first in (("a", True), ("b", False))
+        ])
+        .select("*", *[match_win(c(f"_set_{n}"), c("_sets")).alias(f"_match_{n}") for n in "ab"])
+    )
+    return staged.select(*df.columns, bound((c("_match_a") + c("_match_b")) / 2.0).alias(out))
+
+
 def scoring_features(wide: DataFrame) -> DataFrame:
     p_a, p_b = serve_points(wide)
-    # the two inputs are columns of their own, so the long sums refer to them
-    df = wide.select("*", p_a.alias("_p_a"), p_b.alias("_p_b")).select(
-        "*", prematch(F.col("_p_a"), F.col("_p_b"), optional(wide, "best_of", 3.0)).alias("_win_a")
-    )
+    df = with_prematch(wide, p_a, p_b, optional(wide, "best_of", 3.0), "_win_a")
 
     def both(flag: str) -> Column:
         return ((optional(wide, f"{flag}_a", 0) == 1) & (optional(wide, f"{flag}_b", 0) == 1)).cast("int")
@@ -49,7 +65,7 @@ def scoring_features(wide: DataFrame) -> DataFrame:
     )
 
 
-def start_state_probability(wide: DataFrame) -> Column:
+def with_start_state(wide: DataFrame, out: str) -> DataFrame:
     """Scoring probability at the start of a match, with inputs rounded to four places."""
     p_a, p_b = serve_points(wide, clipped=True)
-    return prematch(F.round(p_a, 4), F.round(p_b, 4), optional(wide, "best_of", 3.0))
+    return with_prematch(wide, F.round(p_a, 4), F.round(p_b, 4), optional(wide, "best_of", 3.0), out)
