@@ -30,6 +30,7 @@ class Prior:
     agg     mean, sum, count, max or last (last value that is not null)
     frame   rows (the ``size`` rows before), days (``size`` days before the
             row's day, the day itself excluded) or all (every earlier row)
+    own     the row itself counts too, as its last row (rows and all frames)
     """
 
     out: str
@@ -38,6 +39,15 @@ class Prior:
     frame: str = "rows"
     size: int = 0
     at_least: int = 1
+    own: bool = False
+
+    @property
+    def last_row(self) -> int:
+        return 0 if self.own else -1
+
+    @property
+    def first_row(self) -> int:
+        return 1 - self.size if self.own else -self.size
 
 
 def _aggregate(m: Prior, source: Column | None, window) -> Column:
@@ -67,9 +77,9 @@ def _native(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str |
             w = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(-m.size, -1)
             value = F.when(F.col(day).isNotNull(), _aggregate(m, source, w))
         elif m.frame == "rows":
-            value = _aggregate(m, source, by_row.rowsBetween(-m.size, -1))
+            value = _aggregate(m, source, by_row.rowsBetween(m.first_row, m.last_row))
         else:
-            value = _aggregate(m, source, by_row.rowsBetween(Window.unboundedPreceding, -1))
+            value = _aggregate(m, source, by_row.rowsBetween(Window.unboundedPreceding, m.last_row))
         columns.append(value.alias(m.out))
     return df.select("*", *columns)
 
@@ -96,10 +106,10 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
         columns = []
         for m in framed:
             columns.append(
-                _aggregate(m, F.col(m.source) if m.source else None, w.rowsBetween(-m.size, -1)).alias(m.out)
+                _aggregate(m, F.col(m.source) if m.source else None, w.rowsBetween(m.first_row, m.last_row)).alias(m.out)
             )
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
         for m in unbounded:
+            before = w.rowsBetween(Window.unboundedPreceding, m.last_row)
             own = F.when(~F.col("_context"), F.col(m.source) if m.source else F.lit(1))
             if m.agg in ("mean", "count"):
                 columns.append(F.count(own).over(before).alias(f"_n_{m.out}"))

@@ -33,6 +33,11 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_stages[key])
 
 
+def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a stage that has been written."""
+    return _stages[spark.sparkContext.applicationId, sf_dir, name]
+
+
 def _div(value: Column, by: int) -> Column:
     """Integer division of non-negative numbers."""
     return ((value - value % by) / by).cast("double")
@@ -180,6 +185,7 @@ def build_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce((winner == server).cast("long"), F.lit(0).cast("long")).alias("isSvrWinner"),
         F.lit(0).cast("long").alias("TB?"),
         F.concat(F.lit("charting-"), F.when(F.col("user_id") % 2 == 1, "m").otherwise("w"), F.lit("-points.csv")).alias("source_file"),
+        "ts",
     )
 
 
