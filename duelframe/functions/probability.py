@@ -24,12 +24,12 @@ PRIOR_STRENGTH = 48.0
 
 
 def clip(p: Column) -> Column:
-    """Into [0.01, 0.99]; missing counts as 0.5."""
-    return F.coalesce(F.least(F.greatest(p, F.lit(EDGE)), F.lit(1.0 - EDGE)), F.lit(NEUTRAL))
+    """Into [0.01, 0.99]; missing counts as 0.5 (least and greatest would skip a null)."""
+    return F.when(p.isNull(), F.lit(NEUTRAL)).otherwise(F.least(F.greatest(p, F.lit(EDGE)), F.lit(1.0 - EDGE)))
 
 
 def bound(p: Column) -> Column:
-    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def total(terms: Iterable[Column]) -> Column:
@@ -87,31 +87,39 @@ def two_clear(x: Column, y: Column, rounds: Column | int) -> Column:
     return x / (x + y) * (1 - again) + NEUTRAL * again
 
 
-def hold(p: Column) -> Column:
+def hold(p: Column, clipped: bool = False) -> Column:
     """P(server wins a game) from P(server wins a point)."""
-    p = clip(p)
+    if not clipped:
+        p = clip(p)
     up = power(p, 4) * (15.0 - 34.0 * p + 28.0 * power(p, 2) - 8.0 * power(p, 3))
     return bound(up / (1.0 - 2.0 * p + 2.0 * power(p, 2)))
 
 
-def tiebreak(p_a: Column, p_b: Column, a_first: bool) -> Column:
-    """P(A wins a tiebreak) from 0-0, truncated at 60 points."""
-    p_a, p_b = clip(p_a), clip(p_b)
+def tiebreak(p_a: Column, p_b: Column, a_first: bool, clipped: bool = False) -> Column:
+    """P(A wins a tiebreak) from 0-0, truncated at 60 points.
+
+    Inputs that are already clipped columns keep the expression small.
+    """
+    if not clipped:
+        p_a, p_b = clip(p_a), clip(p_b)
     first, other = (p_a, 1 - p_b) if a_first else (1 - p_b, p_a)
     level = won_of(12, 6, serves_first_tiebreak, first, other)
     ahead = two_clear(first * other, (1 - first) * (1 - other), (TIEBREAK_LIMIT - 12) // 2)
     return bound(_race(7, 6, serves_first_tiebreak, first, other) + level * ahead)
 
 
-def set_win(hold_a: Column, hold_b: Column, p_a: Column, p_b: Column, a_first: bool) -> Column:
+def set_win(
+    hold_a: Column, hold_b: Column, p_a: Column, p_b: Column, a_first: bool, clipped: bool = False
+) -> Column:
     """P(A wins a set) from 0-0 with a tiebreak at 6-6."""
-    hold_a, hold_b = clip(hold_a), clip(hold_b)
+    if not clipped:
+        hold_a, hold_b = clip(hold_a), clip(hold_b)
     first, other = (hold_a, 1 - hold_b) if a_first else (1 - hold_b, hold_a)
     level = won_of(10, 5, serves_first_set, first, other)
     x, y = first * other, (1 - first) * (1 - other)
     return bound(
         _race(6, 5, serves_first_set, first, other)
-        + level * (x + (1 - x - y) * tiebreak(p_a, p_b, a_first))
+        + level * (x + (1 - x - y) * tiebreak(p_a, p_b, a_first, clipped))
     )
 
 

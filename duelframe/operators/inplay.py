@@ -202,9 +202,9 @@ def score_states(
     opener_serves = (points_played == 0) | (F.floor((points_played - 1) / 2) % 2 == 1)
     df = df.select(
         "*",
-        hold(c("_pa")).alias("_ha"), hold(c("_pb")).alias("_hb"),
+        hold(c("_pa"), True).alias("_ha"), hold(c("_pb"), True).alias("_hb"),
         ((c("_ga") == 6) & (c("_gb") == 6)).alias("_tb"),
-        tiebreak(c("_pa"), c("_pb"), True).alias("_tbA"), tiebreak(c("_pa"), c("_pb"), False).alias("_tbB"),
+        tiebreak(c("_pa"), c("_pb"), True, True).alias("_tbA"), tiebreak(c("_pa"), c("_pb"), False, True).alias("_tbB"),
         _other(c("_s")).alias("_next"),
         F.when(opener_serves, c("_s")).otherwise(_other(c("_s"))).alias("_opener"),
         F.when(c("_s") == "A", c("_pa")).otherwise(1 - c("_pb")).alias("_point"),

@@ -38,9 +38,9 @@ def with_prematch(df: DataFrame, p_a: Column, p_b: Column, best_of: Column, out:
     c = F.col
     staged = (
         df.select("*", clip(p_a).alias("_pa"), clip(p_b).alias("_pb"), best_of.alias("_sets"))
-        .select("*", clip(hold(c("_pa"))).alias("_ha"), clip(hold(c("_pb"))).alias("_hb"))
+        .select("*", clip(hold(c("_pa"), True)).alias("_ha"), clip(hold(c("_pb"), True)).alias("_hb"))
         .select("*", *[
-            clip(set_win(c("_ha"), c("_hb"), c("_pa"), c("_pb"), first)).alias(f"_set_{n}")
+            clip(set_win(c("_ha"), c("_hb"), c("_pa"), c("_pb"), first, True)).alias(f"_set_{n}")
             for n, first in (("a", True), ("b", False))
         ])
         .select("*", *[match_win(c(f"_set_{n}"), c("_sets")).alias(f"_match_{n}") for n in "ab"])

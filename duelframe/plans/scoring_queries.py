@@ -31,8 +31,8 @@ serves AS (
 def score_ctes(source: str) -> list[str]:
     """Set and match probabilities for rows (id, p_a, p_b, best_of), by summing over counted paths."""
     return [
-        f"""clipped AS (SELECT id, best_of, coalesce(least(greatest(p_a, 0.01), 0.99), 0.5)::DOUBLE AS pa,
-          coalesce(least(greatest(p_b, 0.01), 0.99), 0.5)::DOUBLE AS pb FROM {source})""",
+        f"""clipped AS (SELECT id, best_of, CASE WHEN p_a IS NULL THEN 0.5 ELSE least(greatest(p_a, 0.01), 0.99) END::DOUBLE AS pa,
+          CASE WHEN p_b IS NULL THEN 0.5 ELSE least(greatest(p_b, 0.01), 0.99) END::DOUBLE AS pb FROM {source})""",
         """holds AS (SELECT *, pow(pa,4)*(15-34*pa+28*pow(pa,2)-8*pow(pa,3))/(1-2*pa+2*pow(pa,2)) AS raw_ha,
           pow(pb,4)*(15-34*pb+28*pow(pb,2)-8*pow(pb,3))/(1-2*pb+2*pow(pb,2)) AS raw_hb FROM clipped)""",
         """trials AS (SELECT 'tb' AS kind, i, (i = 0 OR ((i - 1) // 2) % 2 = 1) AS own FROM range(13) t(i)

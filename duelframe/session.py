@@ -18,6 +18,8 @@ def build_session(app: str = "duelframe", cores: str = "*", **conf: str) -> Spar
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
+        # small local tables still deserve one task per core
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
