@@ -63,7 +63,8 @@ def binary_metrics(df: DataFrame, groups: Sequence[str], y: str, p: str, edge: f
 def checkpoint_metrics(scored: DataFrame, y: str = "label_player1_win_match", p: str = "prob_player1_win_match") -> DataFrame:
     """Metrics by split, by split and checkpoint, and by split, tour and surface, in one pass."""
     edge = 1e-6
-    rows = scored.withColumn("_p", F.least(F.greatest(F.col(p), F.lit(edge)), F.lit(1.0 - edge)))
+    # rounded, so that equal states tie whatever the order of summation
+    rows = scored.withColumn("_p", F.round(F.least(F.greatest(F.col(p), F.lit(edge)), F.lit(1.0 - edge)), 12))
     keys = ["split", "checkpoint_type", "tour", "surface"]
     sets = [["split"], ["split", "checkpoint_type"], ["split", "tour", "surface"]]
     kind = (

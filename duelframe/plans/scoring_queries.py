@@ -16,7 +16,7 @@ from duelframe.plans import fixtures as fx
 from duelframe.plans import stages
 from duelframe.plans.history_queries import FEATURE_SQL, LONG
 from duelframe.plans.oracle_base import CONTESTS, POINTS
-from duelframe.plans.registry import query, sql
+from duelframe.plans.registry import ORACLES, query, sql
 
 # points fall in January: dates split them as years split contests
 POINT_SPLIT = SplitConfig(train_end="2024-01-01", validation_end="2024-01-02", date="match_date")
@@ -295,7 +295,7 @@ def checkpoints(spark, sf_dir):
 
 @query("inplay_prob")
 def inplay(spark, sf_dir):
-    """Every snapshot scored with live counts; checked against a recursion in the tests."""
+    """Every snapshot scored with live counts."""
     return sn.score_snapshots(snapshots(spark, sf_dir)).select(
         "snapshot_id", "prob_player1_win_match", "prob_player1_win_match_problem"
     )
@@ -304,3 +304,101 @@ def inplay(spark, sf_dir):
 @query("checkpoint_metrics")
 def metrics_at_checkpoints(spark, sf_dir):
     return checkpoint_metrics(sn.score_snapshots(checkpoint_rows(spark, sf_dir)))
+
+
+def _live_oracle() -> list[str]:
+    """CTEs ending in ``live`` (snapshot_id, prob): paths of a set and of a game are
+    enumerated one by one by recursion, then summed. Snapshots never lie in a tiebreak."""
+    game_value = "sum(n * pow(pt, won) * pow(1 - pt, lost) * CASE over WHEN 'win' THEN 1 WHEN 'deuce' THEN pt*pt / (pt*pt + (1-pt)*(1-pt)) ELSE 0 END)"
+    ended = "(x >= 6 OR y >= 6) AND abs(x - y) >= 2"
+    ctes = [
+        """gpath(sx, sy, x, y, won, lost) AS (
+          SELECT a, b, a, b, 0, 0 FROM range(4) r(a), range(4) q(b)
+          UNION ALL SELECT sx, sy, x + d, y + 1 - d, won + d, lost + 1 - d FROM gpath, (VALUES (0), (1)) v(d)
+          WHERE x < 4 AND y < 4 AND NOT (x = 3 AND y = 3))""",
+        """gterm AS (SELECT sx, sy, won, lost, CASE WHEN x = 4 THEN 'win' WHEN y = 4 THEN 'lose' ELSE 'deuce' END AS over, count(*) AS n
+          FROM gpath WHERE x = 4 OR y = 4 OR (x = 3 AND y = 3) GROUP BY ALL)""",
+        f"""spath(sx, sy, srv, x, y, a1, a2, b1, b2) AS (
+          SELECT a, b, s, a, b, 0, 0, 0, 0 FROM range(7) r(a), range(7) q(b), (VALUES (0), (1)) v(s) WHERE NOT ((a >= 6 OR b >= 6) AND abs(a - b) >= 2)
+          UNION ALL
+          SELECT sx, sy, srv, x + d, y + 1 - d,
+            a1 + CASE WHEN own AND d = 1 THEN 1 ELSE 0 END, a2 + CASE WHEN own AND d = 0 THEN 1 ELSE 0 END,
+            b1 + CASE WHEN NOT own AND d = 1 THEN 1 ELSE 0 END, b2 + CASE WHEN NOT own AND d = 0 THEN 1 ELSE 0 END
+          FROM (SELECT *, (x + y - sx - sy + srv) % 2 = 0 AS own FROM spath), (VALUES (0), (1)) v(d)
+          WHERE NOT ({ended}) AND NOT (x = 6 AND y = 6))""",
+        f"""sterm AS (SELECT sx, sy, srv, CASE WHEN x = 6 AND y = 6 THEN 'tb' WHEN x > y THEN 'win' ELSE 'lose' END AS over,
+            (x + y - sx - sy) % 2 AS odd, a1, a2, b1, b2, count(*)::DOUBLE AS n
+          FROM spath WHERE ({ended}) OR (x = 6 AND y = 6) GROUP BY ALL)""",
+        """st AS (SELECT s.*, (48 * 0.5 + p1_service_points_won_before) / (48 + p1_service_points_played_before)::DOUBLE AS p_a,
+            (48 * 0.5 + p2_service_points_won_before) / (48 + p2_service_points_played_before)::DOUBLE AS p_b, snapshot_id AS id,
+            CASE WHEN server = 'A' THEN 0 ELSE 1 END AS sv, best_of // 2 + 1 - sets_1 AS ni, best_of // 2 + 1 - sets_2 AS nj,
+            CASE points_1 WHEN '15' THEN 1 WHEN '30' THEN 2 WHEN '40' THEN 3 ELSE 0 END AS c1,
+            CASE points_2 WHEN '15' THEN 1 WHEN '30' THEN 2 WHEN '40' THEN 3 ELSE 0 END AS c2 FROM snaps s)""",
+        *score_ctes("st"),
+        """rates AS (SELECT id, pa, pb, raw_ha AS ha, raw_hb AS hb FROM holds)""",
+        f"""cur AS (SELECT id, {game_value} AS g FROM (SELECT st.id, c1, c2, CASE WHEN sv = 0 THEN pa ELSE 1 - pb END AS pt FROM st JOIN rates USING (id))
+          JOIN gterm ON sx = c1 AND sy = c2 GROUP BY id)""",
+        # value of each part of a set from a score: from 0-0 for both servers, and after either result of this game
+        """scores AS (
+          SELECT id, 'f' || s AS tag, 0 AS x, 0 AS y, s AS srv FROM st, (VALUES (0), (1)) v(s)
+          UNION ALL SELECT id, 'w', games_1 + 1, games_2, 1 - sv FROM st UNION ALL SELECT id, 'l', games_1, games_2 + 1, 1 - sv FROM st)""",
+        """parts AS (SELECT id, tag, over, odd, sum(n * pow(ha, a1) * pow(1 - ha, a2) * pow(1 - hb, b1) * pow(hb, b2)) AS v
+          FROM scores JOIN rates USING (id) JOIN sterm ON sx = x AND sy = y AND sterm.srv = scores.srv GROUP BY ALL)""",
+        # the tiebreak opens with the next server when an even number of games is left before it
+        """ends AS (SELECT p.id, p.tag, s.srv,
+            coalesce(sum(v) FILTER (over = 'win' AND odd = 0), 0) AS win_same, coalesce(sum(v) FILTER (over = 'lose' AND odd = 0), 0) AS lose_same,
+            coalesce(sum(v) FILTER (over = 'win' AND odd = 1), 0) AS win_turn, coalesce(sum(v) FILTER (over = 'lose' AND odd = 1), 0) AS lose_turn,
+            coalesce(sum(v) FILTER (over = 'tb'), 0) AS level, (s.srv + any_value(12 - s.x - s.y)) % 2 AS opener
+          FROM parts p JOIN scores s ON s.id = p.id AND s.tag = p.tag GROUP BY p.id, p.tag, s.srv)""",
+        """flow AS (SELECT e.id, e.tag, s.t,
+            CASE WHEN s.t = e.srv THEN win_same ELSE win_turn END + CASE WHEN s.t <> e.opener THEN level * tb ELSE 0 END AS w,
+            CASE WHEN s.t = e.srv THEN lose_same ELSE lose_turn END + CASE WHEN s.t <> e.opener THEN level * (1 - tb) ELSE 0 END AS l
+          FROM ends e JOIN tbs ON tbs.id = e.id AND tbs.first = CASE WHEN e.opener = 0 THEN 'A' ELSE 'B' END, (VALUES (0), (1)) s(t))""",
+        "fresh AS (SELECT id, " + ", ".join(
+            f"max({k}) FILTER (tag = 'f{s}' AND t = {t}) AS {k}{s}{t}" for k in "wl" for s in (0, 1) for t in (0, 1)) + " FROM flow GROUP BY id)",
+    ]
+    source = "fresh"
+    for level in range(2, 7):
+        cells = []
+        for i in range(1, 4):
+            j = level - i
+            if 1 <= j <= 3:
+                for s in (0, 1):
+                    won = lambda t: "1" if i == 1 else f"m{i - 1}{j}{t}"  # noqa: E731, B023
+                    lost = lambda t: "0" if j == 1 else f"m{i}{j - 1}{t}"  # noqa: E731, B023
+                    cells.append(" + ".join(f"w{s}{t} * {won(t)} + l{s}{t} * {lost(t)}" for t in (0, 1)) + f" AS m{i}{j}{s}")
+        ctes.append(f"lev{level} AS (SELECT *, {', '.join(cells)} FROM {source})")
+        source = f"lev{level}"
+    rows = " UNION ALL ".join(
+        f"SELECT id, {i} AS i, {j} AS j, {s} AS s, " + ("1.0" if i == 0 else "0.0" if j == 0 else f"m{i}{j}{s}") + f" AS v FROM {source}"
+        for i in range(4) for j in range(4) if i + j for s in (0, 1))
+    over = "(greatest({x}, {y}) >= 6 AND abs({x} - {y}) >= 2)"
+    branch = lambda tag, x, y: (
+        f"SELECT st.id, '{tag}' AS tag, mv.v FROM st JOIN mval mv ON mv.id = st.id AND mv.s = 1 - sv AND mv.i = ni - ({x} > {y})::INTEGER AND mv.j = nj - ({x} < {y})::INTEGER "
+        f"WHERE {over.format(x=x, y=y)}"
+    )
+    ctes += [
+        f"mval AS ({rows})",
+        f"""after AS ({branch('w', '(games_1 + 1)', 'games_2')} UNION ALL {branch('l', 'games_1', '(games_2 + 1)')}
+          UNION ALL SELECT st.id, f.tag, sum(f.w * up.v + f.l * down.v) FROM st JOIN flow f ON f.id = st.id AND f.tag IN ('w', 'l')
+            JOIN mval up ON up.id = st.id AND up.i = ni - 1 AND up.j = nj AND up.s = f.t JOIN mval down ON down.id = st.id AND down.i = ni AND down.j = nj - 1 AND down.s = f.t
+            GROUP BY st.id, f.tag)""",
+        """live AS (SELECT id AS snapshot_id, sum(CASE WHEN tag = 'w' THEN g ELSE 1 - g END * v) AS prob FROM after JOIN cur USING (id) GROUP BY id)""",
+    ]
+    return ctes
+
+
+LIVE = _live_oracle()
+ORACLES["inplay_prob"] = sql(
+    [POINTS, COUNTS, SNAPSHOTS, *LIVE],
+    "SELECT snapshot_id, prob AS prob_player1_win_match, NULL::VARCHAR AS prob_player1_win_match_problem FROM live", ["prob_player1_win_match"],
+)
+ORACLES["checkpoint_metrics"] = sql(
+    [POINTS, COUNTS, SNAPSHOTS, CHECKS, *LIVE,
+     """judged AS (SELECT c.match_id, c.match_date, c.label_player1_win_match AS y, round(prob, 12) AS p, u.grp, u.val
+        FROM checks c JOIN live USING (snapshot_id), LATERAL (VALUES ('split', split), (split || ':checkpoint_type', checkpoint_type), (split || ':tour_surface', tour || '/' || surface)) u(grp, val))""",
+     *metric_sql("judged", "grp, val", "y", "p", 1e-6),
+     "span AS (SELECT grp, val, count(DISTINCT match_id)::BIGINT AS matches, min(match_date) AS date_min, max(match_date) AS date_max FROM judged GROUP BY ALL)"],
+    'SELECT grp AS "group", val AS value, matches, date_min, date_max, rows, accuracy, log_loss, brier_score, positive_rate, avg_pred_prob, roc_auc '
+    "FROM m JOIN a USING (grp, val) JOIN span USING (grp, val)", METRICS,
+)
