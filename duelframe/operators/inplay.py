@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +71,10 @@ def _terms(counter: Counter) -> list[tuple]:
     return [(float(ways), *exponents) for exponents, ways in sorted(counter.items())]
 
 
-def set_table(spark: SparkSession) -> DataFrame:
+SET_PARTS = ("win_even", "win_odd", "lose_even", "lose_odd", "level")
+
+
+def set_rows() -> list[tuple]:
     """Per unfinished set score and next server: ways to win, lose or reach 6-6,
     split by whether an even or odd number of games is left."""
     rows = []
@@ -87,8 +92,12 @@ def set_table(spark: SparkSession) -> DataFrame:
                     x, y, server, get("win", 0), get("win", 1), get("lose", 0), get("lose", 1), get("level", left % 2),
                     server if opener_is_next else ("B" if server == "A" else "A"),
                 ))
-    names = [f"{k} {TERM}" for k in ("win_even", "win_odd", "lose_even", "lose_odd", "level")]
-    return spark.createDataFrame(rows, f"g_a int, g_b int, next string, {', '.join(names)}, opener string")
+    return rows
+
+
+def set_table(spark: SparkSession) -> DataFrame:
+    names = [f"{k} {TERM}" for k in SET_PARTS]
+    return spark.createDataFrame(set_rows(), f"g_a int, g_b int, next string, {', '.join(names)}, opener string")
 
 
 def tiebreak_table(spark: SparkSession) -> DataFrame:
@@ -145,15 +154,13 @@ def game_from(a: Column, b: Column, p: Column) -> Column:
     return value
 
 
-def _fresh(df: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add, per first server s: P(set winner w and next first server t) from 0-0."""
-    for s in "AB":
-        row = sets.filter(f"g_a = 0 and g_b = 0 and next = '{s}'").select(
-            *[F.col(k).alias(f"f{s}_{k}") for k in ("win_even", "win_odd", "lose_even", "lose_odd", "level")],
-            F.lit(1).alias("_one"),
-        )
-        df = df.join(F.broadcast(row), "_one", "left")
-    return df
+def _polynomial(terms: list[tuple], on_a: str, on_b: str) -> Column:
+    """The same value written out, for terms known when the plan is built."""
+    names = (f"{on_a}_won", f"{on_a}_lost", f"{on_b}_won", f"{on_b}_lost")
+    return total(
+        reduce(mul, [F.get(n, F.lit(e)) for n, e in zip(names, exponents) if e], F.lit(ways))
+        for ways, *exponents in terms
+    ) if terms else F.lit(0.0)
 
 
 def _other(server: Column) -> Column:
@@ -191,7 +198,6 @@ def score_states(
         F.upper(F.trim(server)).alias("_s"),
         clip(F.col(p[0])).alias("_pa"), clip(F.col(p[1])).alias("_pb"),
         F.when(best == 5, 3).otherwise(2).alias("_target"),
-        F.lit(1).alias("_one"),
     )
     c = F.col
     df = df.withColumn("_why", problem({
@@ -219,19 +225,19 @@ def score_states(
         game_from(c("_ca"), c("_cb"), c("_point")).alias("_game"),
     )
     table = set_table(spark)
-    df = _fresh(df, table)
+    start = {row[2]: dict(zip(SET_PARTS, row[3:8])) for row in set_rows() if row[:2] == (0, 0)}
     # P(winner, next server) of a whole set, per first server
     columns = []
     for s, o in (("A", "B"), ("B", "A")):
-        lev = _sum(f"f{s}_level", "_gA", "_gB")
+        part = {k: _polynomial(terms, "_gA", "_gB") for k, terms in start[s].items()}
         tb = c(f"_tb{s}")
         columns += [
-            _sum(f"f{s}_win_even", "_gA", "_gB").alias(f"_w{s}{s}"),
-            (_sum(f"f{s}_win_odd", "_gA", "_gB") + lev * tb).alias(f"_w{s}{o}"),
-            _sum(f"f{s}_lose_even", "_gA", "_gB").alias(f"_l{s}{s}"),
-            (_sum(f"f{s}_lose_odd", "_gA", "_gB") + lev * (1 - tb)).alias(f"_l{s}{o}"),
+            part["win_even"].alias(f"_w{s}{s}"),
+            (part["win_odd"] + part["level"] * tb).alias(f"_w{s}{o}"),
+            part["lose_even"].alias(f"_l{s}{s}"),
+            (part["lose_odd"] + part["level"] * (1 - tb)).alias(f"_l{s}{o}"),
         ]
-    df = df.select(*[n for n in df.columns if not n.startswith(("fA_", "fB_"))], *columns)
+    df = df.select("*", *columns)
     # value at the start of a set when A still needs i sets and B needs j
     for level in range(2, 7):
         cells = []
