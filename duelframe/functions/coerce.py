@@ -86,7 +86,7 @@ def places(name: str) -> int:
     """Decimals kept in a compared result: ratings accumulate rounding noise over long chains."""
     if "elo" in name or "surface_advantage" in name:
         return 6
-    return 10 if name in ("min", "max", "mean") else 9
+    return 11 if name in ("min", "max", "mean") else 9
 
 
 def rounded(df: DataFrame) -> DataFrame:
