@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import sys
+from collections.abc import Callable, Hashable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def fresh_name(columns: Iterable[str], stem: str) -> str:
     return name
 
 
+def once_per_worker(key: Hashable, build: Callable[[], object]) -> object:
+    """A value that a Python worker builds once and keeps for its later tasks."""
+    kept = sys.modules["__main__"].__dict__.setdefault("_kept_by_worker", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Components of an undirected graph given as (a, b) rows of long ids.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, mixing, url_filter
+from duelframe.llm import html_text, language_id, mixing, packing, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -19,6 +19,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_pack_documents")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens"
+    )
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
 #: Target mixture of the whole corpus; sources share equally. The tables name no domain, so sources form four of them.
 MIX_WEIGHTS = {
     "domain": {"web0": 4.0, "web1": 3.0, "web2": 2.0, "web3": 1.0},
@@ -43,3 +62,16 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked, _ = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return picked.select("doc_id", "domain", "language", "source", "n_tokens", "epochs", "take_tokens")
+
+
+@query("op7_top_k_search", oracle="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WHERE rank <= 10
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
