@@ -52,6 +52,16 @@ def fresh_name(columns: Iterable[str], stem: str) -> str:
     return name
 
 
+#: Rows up to which a written table of a few numbers per row is broadcast (at most some 30 MB).
+BROADCAST_ROWS = 400_000
+
+
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a right side of short rows, broadcast if its counted rows are few, shuffled if not."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, keys, how)
+
+
 def once_per_worker(key: Hashable, build: Callable[[], object]) -> object:
     """A value that a Python worker builds once and keeps for its later tasks."""
     kept = sys.modules["__main__"].__dict__.setdefault("_kept_by_worker", {})

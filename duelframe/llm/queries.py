@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, mixing, packing, url_filter, vector_search
+from duelframe.llm import html_text, language_id, mixing, near_text, packing, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -75,3 +75,8 @@ WHERE rank <= 10
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_near_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"))
