@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, mixing, near_text, packing, url_filter, vector_search
+from duelframe.llm import html_text, language_id, mixing, near_text, near_vectors, packing, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -80,3 +80,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_near_vectors")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
