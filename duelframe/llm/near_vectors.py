@@ -298,19 +298,23 @@ def near_duplicate_vectors(
         return ids, copies, exact, Graph(exact.astype(np.float32), members, links)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "other": np.empty(0, np.int64)})
+        def rows_of(rep, links, other, edge: bool) -> pd.DataFrame:
+            return pd.DataFrame({"rep": rep, "links": links, "other": other, "edge": np.full(len(rep), edge)})
+
+        none = np.empty(0, np.int64)
         if not len(left) or not len(right):
-            return none
+            return rows_of(none, none, none, False)
         ids, copies, exact, graph = load(left.iloc[0])
         names = right["rep"].to_numpy(np.int64)
         found = find_links(graph, exact, units(right), threshold)
         found = [f[ids[f] != name] for f, name in zip(found, names)]
         linked = np.array([copies[f].sum() for f in found], dtype=np.int64)
         forest = _spanning(found, names, ids)
+        some = linked > 0
         return pd.concat([
-            none, pd.DataFrame({"rep": names[linked > 0], "links": linked[linked > 0], "other": np.int64(-1)}),
-            pd.DataFrame({"rep": forest["a"], "links": np.int64(0), "other": forest["b"]}).assign(edge=True),
-        ]).assign(edge=lambda d: d["edge"].fillna(False).astype(bool) if "edge" in d else False)
+            rows_of(names[some], linked[some], np.full(int(some.sum()), -1), False),
+            rows_of(forest["a"].to_numpy(), np.zeros(len(forest), np.int64), forest["b"].to_numpy(), True),
+        ])
 
     asked = reps.select("label", "q", "rep", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
     met = join_sized(graphs, sizes.select("label", "blocks"), ["label"]).withColumn(

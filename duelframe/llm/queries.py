@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, mixing, near_text, near_vectors, packing, url_filter, vector_search
+from duelframe.llm import html_text, language_id, mixing, near_text, near_vectors, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_vectors")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
