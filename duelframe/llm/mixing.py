@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import fresh_name
+from duelframe.llm.common import fresh_name, join_sized
 from duelframe.session import spool
 
 #: Documents that one slice of a leaf's order holds on average.
@@ -98,6 +98,26 @@ def leaf_budgets(
     )
 
 
+class Mixture:
+    """Picked rows, the quotas of the leaves, and the names under which columns were added to the rows."""
+
+    def __init__(self, rows: DataFrame, quotas: DataFrame, names: Mapping[str, str]):
+        self.rows, self.quotas, self.names = rows, quotas, names
+
+    def readings(self, text_column: str = "text") -> DataFrame:
+        """One row per reading of a document: each full epoch, then the prefix of the last document of a leaf.
+
+        The rows have the columns of the documents; the text of a prefix ends with its last word.
+        """
+        names = self.names
+        full, n, take = (F.col(names[k]) for k in ("epochs", "n_tokens", "take_tokens"))
+        read, part = fresh_name(self.rows.columns, "reading"), take - full * n
+        whole_words = F.regexp_extract_all(F.col(text_column), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+        each = self.rows.withColumn(read, F.explode(F.sequence(F.lit(1), (full + F.when(part > 0, 1).otherwise(0)).cast("int"))))
+        cut = F.when(F.col(read) > full, F.array_join(F.slice(whole_words, F.lit(1), part.cast("int")), "")).otherwise(F.col(text_column))
+        return each.withColumn(text_column, cut).drop(read, *names.values())
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -109,14 +129,13 @@ def mix(
     seed: int = 17,
     id_column: str = "doc_id",
     text_column: str = "text",
-    tokens_name: str = "n_tokens",
-) -> tuple[DataFrame, DataFrame]:
-    """Pick documents so that leaves meet their quotas; returns (picked rows, quotas).
+) -> Mixture:
+    """Pick documents so that leaves meet their quotas.
 
-    Picked rows carry all columns of ``docs`` and domain, language, source, epochs
-    (how often the document is read in full), take_tokens (tokens read in total:
-    the last document of a prefix may be read in part) and the tokens of one
-    reading. Added names get a leading underscore if ``docs`` has them.
+    Picked rows carry all columns of ``docs`` and domain, language, leaf_source,
+    n_tokens (of one reading), epochs (full readings) and take_tokens (tokens
+    read in total: the last document of a prefix is read in part). Added names
+    get a leading underscore if ``docs`` has them.
 
     Null domains, languages and sources form leaves of their own, named ''.
     Documents without words belong to no prefix and are left out, as nothing of
@@ -124,57 +143,55 @@ def mix(
     texts are interchangeable, so ties are cut between equal rows. Empty tables
     give empty results.
     """
-    weights = weights or {}
-    names = {k: fresh_name(docs.columns, k) for k in (
-        "domain", "language", "leaf_source", tokens_name, "epochs", "take_tokens", "mix_key", "mix_slice", "mix_before")}
-    d, lg, sc, n, key, part = (names[k] for k in ("domain", "language", "leaf_source", tokens_name, "mix_key", "mix_slice"))
+    names = {}
+    for stem in ("domain", "language", "leaf_source", "n_tokens", "epochs", "take_tokens", "mix_key", "mix_slice",
+                 "mix_rest", "mix_slices", "mix_room", "mix_whole", "mix_before"):
+        names[stem] = fresh_name([*docs.columns, *names.values()], stem)
+    n, key, part = (names[k] for k in ("n_tokens", "mix_key", "mix_slice"))
+    leaf = [names[k] for k in ("domain", "language", "leaf_source")]
+    epochs, take, rest, room, whole = (names[k] for k in ("epochs", "take_tokens", "mix_rest", "mix_room", "mix_whole"))
     seeded = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_column).cast("string"), F.lit("")),
                                F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))).cast("binary"))
+    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")  # of 2**32, in the seeded order
     staged = docs.withColumns({
-        d: F.coalesce(domain.cast("string"), F.lit("")), lg: F.coalesce(language.cast("string"), F.lit("")),
-        sc: F.coalesce(source.cast("string"), F.lit("")), n: word_tokens(F.col(text_column)), key: seeded,
+        **{c: F.coalesce(v.cast("string"), F.lit("")) for c, v in zip(leaf, (domain, language, source))},
+        n: word_tokens(F.col(text_column)), key: seeded,
     }).where(F.col(n) > 0)
-    leaf = [d, lg, sc]
-    # the slice is a range of the seeded order: its leading hexadecimal digits, scaled to the leaf's size
-    lean = staged.select(*leaf, n, F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("h"))
     sizes = spool(
-        lean.groupBy(*leaf).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("rows")), "mix-leaves"
+        staged.select(*[F.col(c).alias(a) for c, a in zip(leaf, ("domain", "language", "source"))], F.col(n).alias("n"))
+        .groupBy("domain", "language", "source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")),
+        "mix-leaves",
     )
+    budgets = leaf_budgets(sizes.drop("rows"), budget_share, max_epochs, weights or {})
     quotas = spool(
-        leaf_budgets(sizes.toDF("domain", "language", "source", "tokens", "rows"), budget_share, max_epochs, weights)
-        .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).cast("long"))
+        budgets.join(sizes.drop("tokens"), ["domain", "language", "source"])
+        .withColumn("epochs", F.floor(F.col("quota") / F.col("tokens")).cast("long"))
         .withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
-        .join(sizes.toDF("domain", "language", "source", "_t", "rows").drop("_t"), ["domain", "language", "source"])
         .withColumn("slices", F.ceil(F.col("rows") / SLICE_ROWS).cast("long")),
         "mix-quotas",
     )
-    to_leaf = quotas.select(F.col("domain").alias(d), F.col("language").alias(lg), F.col("source").alias(sc),
-                            F.col("epochs").alias(names["epochs"]), F.col("rest").alias("_mix_rest"), F.col("slices").alias("_mix_slices"))
-    slice_no = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.col("_mix_slices") / F.lit(2.0**32)).cast("long")
-    per_slice = staged.join(to_leaf, leaf).groupBy(*leaf, slice_no.alias(part)).agg(
-        F.sum(n).alias("slice_tokens"), F.first("_mix_rest").alias("rest")
+    to_leaf = quotas.select("domain", "language", "source", "epochs", "rest", "slices").toDF(*leaf, epochs, rest, names["mix_slices"])
+    # a slice is a range of the seeded order; a leaf has as many as its rows ask for
+    sliced = join_sized(staged, to_leaf, leaf).withColumn(
+        part, F.floor(place * F.col(names["mix_slices"]) / F.lit(2.0**32)).cast("long")
     )
+    per_slice = sliced.groupBy(*leaf, part).agg(F.sum(n).alias("held"), F.first(rest).alias("rest"))
     before = Window.partitionBy(*leaf).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.coalesce(F.sum("held").over(before), F.lit(0))
     cuts = spool(
-        per_slice.withColumn("slice_before", F.coalesce(F.sum("slice_tokens").over(before), F.lit(0)))
-        .select(*leaf, part, F.least(F.col("slice_tokens"), F.greatest(F.lit(0), F.col("rest") - F.col("slice_before"))).alias("_mix_room"),
-                (F.col("slice_tokens") <= F.col("rest") - F.col("slice_before")).alias("_mix_whole")),
+        per_slice.withColumn("left", left).select(
+            *leaf, part, F.greatest(F.lit(0), F.least("held", "left")).alias(room), (F.col("held") <= F.col("left")).alias(whole)
+        ),
         "mix-cuts",
     )
-    placed = staged.join(to_leaf, leaf).withColumn(part, slice_no).join(cuts, [*leaf, part])
-    simple = placed.where(F.col("_mix_whole") | (F.col("_mix_room") == 0)).withColumn(
-        names["take_tokens"], F.col(names["epochs"]) * F.col(n) + F.when(F.col("_mix_whole"), F.col(n)).otherwise(0)
-    )
+    placed = join_sized(sliced, cuts, [*leaf, part])
+    cut_here = ~F.col(whole) & (F.col(room) > 0)
+    simple = placed.where(~cut_here).withColumn(take, F.col(epochs) * F.col(n) + F.when(F.col(whole), F.col(n)).otherwise(0))
     in_slice = Window.partitionBy(*leaf, part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = placed.where(~F.col("_mix_whole") & (F.col("_mix_room") > 0)).withColumn(
-        names["mix_before"], F.coalesce(F.sum(n).over(in_slice), F.lit(0))
-    )
+    at_cut = placed.where(cut_here).withColumn(names["mix_before"], F.coalesce(F.sum(n).over(in_slice), F.lit(0)))
     at_cut = at_cut.withColumn(
-        names["take_tokens"],
-        F.col(names["epochs"]) * F.col(n)
-        + F.least(F.col(n), F.greatest(F.lit(0), F.col("_mix_room") - F.col(names["mix_before"]))),
+        take, F.col(epochs) * F.col(n) + F.least(F.col(n), F.greatest(F.lit(0), F.col(room) - F.col(names["mix_before"])))
     ).drop(names["mix_before"])
-    chosen = simple.unionByName(at_cut).where(F.col(names["take_tokens"]) > 0)
-    chosen = chosen.withColumn(names["epochs"], F.floor(F.col(names["take_tokens"]) / F.col(n)).cast("long"))
-    added = [d, lg, sc, n, names["epochs"], names["take_tokens"]]
-    return chosen.select(*docs.columns, *added), quotas.select("domain", "language", "source", "tokens", "quota")
+    chosen = simple.unionByName(at_cut).where(F.col(take) > 0).withColumn(epochs, F.floor(F.col(take) / F.col(n)).cast("long"))
+    added = {k: names[k] for k in ("domain", "language", "leaf_source", "n_tokens", "epochs", "take_tokens")}
+    return Mixture(chosen.select(*docs.columns, *added.values()), quotas.select("domain", "language", "source", "tokens", "quota"), added)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, mixing, near_text, near_vectors, packing, toxicity, url_filter, vector_search
+from duelframe.llm import html_text, language_id, licenses, mixing, near_text, near_vectors, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -52,16 +52,16 @@ def domain_of_source(source: str = "source"):
     return F.concat(F.lit("web"), F.coalesce(number % 4, F.lit(0)).cast("string"))
 
 
-def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, max_epochs: int = MIX_EPOCHS) -> mixing.Mixture:
     return mixing.mix(
-        docs, domain_of_source(), F.col("lang"), F.col("source"), MIX_BUDGET_SHARE, MIX_EPOCHS, MIX_WEIGHTS
+        docs, domain_of_source(), F.col("lang"), F.col("source"), MIX_BUDGET_SHARE, max_epochs, MIX_WEIGHTS
     )
 
 
 @query("op10_mix_sources")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked, _ = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return picked.select("doc_id", "domain", "language", "source", "n_tokens", "epochs", "take_tokens")
+    picked = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).rows
+    return picked.select("doc_id", "domain", "language", F.col("leaf_source").alias("source"), "n_tokens", "epochs", "take_tokens")
 
 
 @query("op7_top_k_search", oracle="""
@@ -90,3 +90,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
