@@ -6,8 +6,8 @@
 2. Documents with equal shingle sets form a class; one row per class goes on.
 3. Classes that share a band key form candidate groups, found as components of
    (smallest id of the key, id) edges, so a key costs rows in proportion to its
-   members. Any link of similarity 0.85 shares a band but for about one in
-   10^6 pairs.
+   members. Links of similarity 0.8 share a band but for about three in 10^6
+   pairs, those of 0.85 but for two in 10^9.
 4. Groups are cut into blocks of bounded size by set size, as sets of very
    different sizes cannot be similar. A task compares two blocks: similarity is
    estimated from the bits that agree, corrected for those that agree by
@@ -30,7 +30,7 @@ from duelframe.llm.common import connected_components, join_sized
 from duelframe.session import ship, spool
 
 WORDS, PERCENT = 3, 85
-BANDS, ROWS = 36, 7
+BANDS, ROWS = 42, 6
 HASHES, BITS = BANDS * ROWS, 4
 LANES = 16  # 64-bit words of a packed signature: 16 minima of 4 bits each
 #: Estimates this far below the threshold are still confirmed: six standard deviations of the estimate at 0.85.
@@ -170,6 +170,24 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, percent: int
     return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, columns=["a", "b"]).astype("int64")
 
 
+def keep_one(docs: DataFrame, words: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+
+    All columns stay. Repeated rows of an id are copies of each other; rows with
+    a null id or without words are kept.
+    """
+    groups = near_duplicates(docs, id_column, text_column, words, percent)
+    dropped = spool(groups.where("NOT kept").select(id_column).distinct(), "near-dropped")
+    repeated = spool(
+        groups.where(f"kept AND {id_column} IS NOT NULL").groupBy(id_column).count().where("count > 1").select(id_column), "near-repeated"
+    )
+    kept = join_sized(docs, dropped, [id_column], "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = join_sized(kept, repeated, [id_column], "left_semi").dropDuplicates([id_column])
+    return join_sized(kept, repeated, [id_column], "left_anti").unionByName(once).select(*docs.columns)
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
