@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, licenses, mixing, near_text, near_vectors, packing, toxicity, url_filter, vector_search
+from duelframe.llm import html_text, language_id, licenses, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -14,7 +14,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-@query("op3_url_filter")
+@query("op3_url_filter", oracle=oracles.judge_urls())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -58,7 +58,7 @@ def mixture(docs: DataFrame, max_epochs: int = MIX_EPOCHS) -> mixing.Mixture:
     )
 
 
-@query("op10_mix_sources")
+@query("op10_mix_sources", oracle=oracles.mix_sources(MIX_WEIGHTS, MIX_BUDGET_SHARE, MIX_EPOCHS))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).rows
     return picked.select("doc_id", "domain", "language", F.col("leaf_source").alias("source"), "n_tokens", "epochs", "take_tokens")
@@ -77,12 +77,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-@query("op9_near_text")
+@query("op9_near_text", oracle=oracles.near_text(near_text.WORDS, near_text.PERCENT))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op8_near_vectors")
+@query("op8_near_vectors", oracle=oracles.near_vectors(near_vectors.THRESHOLD))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 

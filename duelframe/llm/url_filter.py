@@ -143,7 +143,7 @@ def judge_urls(
     parts = parts.select(
         id_column, "host", "path", name.alias("rule"), verdict.alias("ruled"),
         model_text(F.col("host"), F.col("path")).alias("text"),
-        (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % CALIBRATION_FOLDS == 0).alias("held"),
+        (F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long") % CALIBRATION_FOLDS == 0).alias("held"),
     )
 
     def examples(kind: str, held: bool) -> Column:
@@ -171,7 +171,7 @@ def judge_urls(
     level = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), mean))
     scored = spool(
         spots.select("text", "gram").join(weights, "gram").groupBy("text")
-        .agg((F.round(level * STEPS) / STEPS).alias("score"))
+        .agg((F.round(level * STEPS) / STEPS + F.lit(0.0)).alias("score"))
         .join(texts, "text"),
         "url-scores",
     )
