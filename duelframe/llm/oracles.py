@@ -98,10 +98,10 @@ scored AS (SELECT text, any_value(ca) AS ca, any_value(cr) AS cr,
              round(greatest(-{uf.LIMIT}, least({uf.LIMIT}, sum(ln(pna) - ln(pnr)) / count(*))) * {uf.STEPS}) / {uf.STEPS} + 0.0 AS score
            FROM spots JOIN p{k} USING (gram) JOIN texts USING (text) GROUP BY text),
 bins AS (SELECT score, sum(ca) AS a, sum(cr) AS r FROM scored GROUP BY score),
-rated AS (SELECT score, round(1 - coalesce(sum(a) OVER up, 0) / nullif(sum(a) OVER (), 0)
+rated AS (SELECT score, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS mid, round(1 - coalesce(sum(a) OVER up, 0) / nullif(sum(a) OVER (), 0)
                               + coalesce(sum(r) OVER up, 0) / nullif(sum(r) OVER (), 0), 9) AS good
           FROM bins WHERE a + r > 0 WINDOW up AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT coalesce((SELECT score FROM rated WHERE good IS NOT NULL ORDER BY good DESC, score LIMIT 1), 0.0) AS cut)
+cut AS (SELECT coalesce((SELECT mid FROM rated WHERE good IS NOT NULL ORDER BY good DESC, score LIMIT 1), 0.0) AS cut)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM parts LEFT JOIN scored USING (text), cut"""
 

@@ -108,7 +108,8 @@ def _models(grams: DataFrame) -> DataFrame:
 def _threshold(scored: DataFrame) -> DataFrame:
     """One row (cut): the score from which a url counts as accepted, by balanced accuracy.
 
-    Ties go to the smallest cut. Without examples of both classes it is 0.
+    It lies half-way between the scores it parts; ties go to the smallest one.
+    Without examples of both classes it is 0.
     """
     from pyspark.sql import Window
 
@@ -117,9 +118,12 @@ def _threshold(scored: DataFrame) -> DataFrame:
     all_of = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kept = 1 - F.coalesce(F.sum("a").over(up_to), F.lit(0)) / F.sum("a").over(all_of)
     caught = F.coalesce(F.sum("r").over(up_to), F.lit(0)) / F.sum("r").over(all_of)
-    rated = bins.select("score", "a", "r").where("a + r > 0").select("score", F.round(kept + caught, 9).alias("good"))
-    best = rated.agg(F.max(F.when(F.col("good").isNotNull(), F.struct("good", (-F.col("score")).alias("cut")))).alias("best"))
-    return best.select(F.coalesce(-F.col("best")["cut"], F.lit(0.0)).alias("cut"))
+    in_order = Window.orderBy("score")
+    rated = bins.where("a + r > 0").select(
+        "score", F.round(kept + caught, 9).alias("good"), ((F.col("score") + F.coalesce(F.lag("score").over(in_order), "score")) / 2).alias("cut")
+    )
+    best = rated.agg(F.max(F.when(F.col("good").isNotNull(), F.struct("good", (-F.col("score")).alias("first"), "cut"))).alias("best"))
+    return best.select(F.coalesce(F.col("best")["cut"], F.lit(0.0)).alias("cut"))
 
 
 def judge_urls(
