@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.session import spool
@@ -18,15 +18,20 @@ BLOCK = "_order_block"
 POS = "_order_at"
 
 
+def nulls_last(order: Sequence[str]) -> list[Column]:
+    """Ascending order in which missing values come last."""
+    return [F.asc_nulls_last(c) for c in order]
+
+
 def ordered_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partitioned, sorted and written copy with a block and a position.
 
-    The position grows along ``order`` over the whole table. The copy is written
+    The position grows along ``order`` over the whole table, nulls last. The copy is written
     because range bounds are sampled and may differ on recomputation.
     """
     placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(*nulls_last(order))
+        .sortWithinPartitions(*nulls_last(order))
         .withColumn(BLOCK, F.spark_partition_id())
         .withColumn(POS, F.monotonically_increasing_id())
     )

@@ -16,18 +16,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.ordering import global_index, join_null_safe
+from duelframe.operators.ordering import global_index, join_null_safe, nulls_last
 from duelframe.session import spool
 
 HEAVY_ROWS = 2_000_000
 CHUNK_ROWS = 262_144
+AGGREGATES = ("mean", "sum", "count", "max", "last")
+FRAMES = ("rows", "days", "all")
 
 
 @dataclass(frozen=True)
 class Prior:
     """One output column computed from earlier rows.
 
-    agg     mean, sum, count, max or last (last value that is not null)
+    agg     mean, sum, count, max or last (last value in order that is not null)
     frame   rows (the ``size`` rows before), days (``size`` days before the
             row's day, the day itself excluded) or all (every earlier row)
     own     the row itself counts too, as its last row (rows and all frames)
@@ -41,6 +43,12 @@ class Prior:
     at_least: int = 1
     own: bool = False
 
+    def __post_init__(self) -> None:
+        if self.agg not in AGGREGATES or self.frame not in FRAMES:
+            raise ValueError(f"unknown aggregate {self.agg} or frame {self.frame}")
+        if self.frame == "days" and self.own:
+            raise ValueError("a day frame never holds the row's own day")
+
     @property
     def last_row(self) -> int:
         return 0 if self.own else -1
@@ -62,20 +70,26 @@ def _aggregate(m: Prior, source: Column | None, window) -> Column:
         return F.sum(source).over(window)
     if m.agg == "max":
         return F.max(source).over(window)
-    if m.agg == "last":
-        return F.last(source, ignorenulls=True).over(window)
-    raise ValueError(f"unknown aggregate {m.agg}")
+    return F.last(source, ignorenulls=True).over(window)
+
+
+def _newest(source: Column, order: Sequence[str]) -> Column:
+    """Value of the last row in ``order`` (nulls last) whose value is not null."""
+    place = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    return F.max_by(source, F.when(source.isNotNull(), place))
 
 
 def _native(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str | None,
             measures: Sequence[Prior]) -> DataFrame:
-    by_row = Window.partitionBy(*keys).orderBy(*order)
+    by_row = Window.partitionBy(*keys).orderBy(*nulls_last(order))
     columns = []
     for m in measures:
         source = F.col(m.source) if m.source else None
         if m.frame == "days":
             w = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(-m.size, -1)
-            value = F.when(F.col(day).isNotNull(), _aggregate(m, source, w))
+            # rows of a day are peers in such a frame, so the last one is found by the order itself
+            value = _newest(source, order).over(w) if m.agg == "last" else _aggregate(m, source, w)
+            value = F.when(F.col(day).isNotNull(), value)
         elif m.frame == "rows":
             value = _aggregate(m, source, by_row.rowsBetween(m.first_row, m.last_row))
         else:
@@ -84,6 +98,10 @@ def _native(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str |
     return df.select("*", *columns)
 
 
+#: What a day must hold for an aggregate: count, sum, largest and last value.
+_DAILY = {"count": "n", "mean": "ns", "sum": "s", "max": "x", "last": "l"}
+
+
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str | None,
              measures: Sequence[Prior], chunk_rows: int) -> DataFrame:
     reach = max([m.size for m in measures if m.frame == "rows"], default=0)
@@ -167,26 +185,35 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
 
     if daily:
         # a day is never split across frames, so one row per day is enough
-        sums, counts = {}, {}
-        for i, source in enumerate(sorted({m.source or "" for m in daily})):
-            counts[source] = f"_dn{i}"
-            sums[source] = f"_ds{i}"
-        per_day = rows.filter(F.col(day).isNotNull()).groupBy(*keys, day).agg(
-            *[F.count(F.col(s) if s else F.lit(1)).alias(n) for s, n in counts.items()],
-            *[F.sum(F.col(s) if s else F.lit(1)).alias(n) for s, n in sums.items()],
-        )
+        sources = sorted({m.source or "" for m in daily})
+        name = {(kind, s): f"_d{kind}{i}" for i, s in enumerate(sources) for kind in "nsxl"}
+        needed = {(kind, m.source or "") for m in daily for kind in _DAILY[m.agg]}
+        per_day_values = []
+        for s in sources:
+            value = F.col(s) if s else F.lit(1)
+            made = {"n": F.count(value), "s": F.sum(value), "x": F.max(value),
+                    "l": F.max_by(value, F.when(value.isNotNull(), F.col("_at")))}
+            per_day_values += [v.alias(name[kind, s]) for kind, v in made.items() if (kind, s) in needed]
+        per_day = rows.filter(F.col(day).isNotNull()).groupBy(*keys, day).agg(*per_day_values)
         columns = []
         for m in daily:
             w = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(-m.size, -1)
-            count = F.coalesce(F.sum(counts[m.source or ""]).over(w), F.lit(0))
-            total = F.sum(sums[m.source or ""]).over(w)
+            n, s, x, last = (name[kind, m.source or ""] for kind in "nsxl")
             if m.agg == "count":
-                columns.append(count.alias(m.out))
+                value = F.coalesce(F.sum(n).over(w), F.lit(0))
             elif m.agg == "mean":
-                columns.append(F.when(count >= m.at_least, F.try_divide(total, count)).alias(m.out))
+                value = F.when(F.coalesce(F.sum(n).over(w), F.lit(0)) >= m.at_least, F.try_divide(F.sum(s).over(w), F.sum(n).over(w)))
+            elif m.agg == "sum":
+                value = F.sum(s).over(w)
+            elif m.agg == "max":
+                value = F.max(x).over(w)
             else:
-                columns.append(total.alias(m.out))
+                value = F.last(last, ignorenulls=True).over(w)
+            columns.append(value.alias(m.out))
         out = join_null_safe(out, per_day.select(*keys, day, *columns), [*keys, day], "left")
+        # a missing day has no frame
+        out = out.select(*[c for c in out.columns if c not in {m.out for m in daily}],
+                         *[F.when(F.col(day).isNotNull(), F.coalesce(m.out, F.lit(0)) if m.agg == "count" else F.col(m.out)).alias(m.out) for m in daily])
 
     return out.select(*df.columns, *[m.out for m in measures])
 
@@ -215,9 +242,9 @@ def prior_features(
     """
     if heavy is None:
         return _native(df, keys, order, day, measures)
-    on = heavy.columns
-    usual = df.join(F.broadcast(heavy), on, "left_anti")
-    large = df.join(F.broadcast(heavy), on, "left_semi")
+    on = heavy.columns  # a missing key is a group like any other
+    usual = join_null_safe(df, F.broadcast(heavy), on, "left_anti")
+    large = join_null_safe(df, F.broadcast(heavy), on, "left_semi")
     return _native(usual, keys, order, day, measures).unionByName(
         _chunked(large, keys, order, day, measures, chunk_rows)
     )
