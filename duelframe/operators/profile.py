@@ -57,5 +57,5 @@ def demand_valid(df: DataFrame, checks: dict) -> DataFrame:
 
 
 def unpaired_contests(sides: DataFrame, key: str = "match_id") -> DataFrame:
-    """Contests whose number of side rows is not two."""
-    return sides.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows <> 2")
+    """Contests, by tour and key, whose number of side rows is not two."""
+    return sides.groupBy("tour", key).agg(F.count(F.lit(1)).alias("rows")).filter("rows <> 2")

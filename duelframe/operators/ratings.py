@@ -24,9 +24,10 @@ from duelframe.session import ship, spool
 
 ship(__name__)
 
-ORDER = ("tourney_date", "tourney_id", "match_num", "match_id")
+#: The last one, the row's own number, parts rows that are equal in all others.
+ORDER = ("tourney_date", "tourney_id", "match_num", "match_id", "_row")
 RATED = ("winner_pre", "loser_pre", "winner_post", "loser_post")
-RESULT = "match_id string, " + ", ".join(f"{n} double" for n in (*RATED, *[f"surface_{n}" for n in RATED]))
+RESULT = "_row long, " + ", ".join(f"{n} double" for n in (*RATED, *[f"surface_{n}" for n in RATED]))
 
 
 def win_expectancy(mine: Column, theirs: Column) -> Column:
@@ -49,8 +50,8 @@ def _rate(rows: pd.DataFrame, seeds: pd.DataFrame | None, initial: float, weight
                 on_surface[surface, player] = rating
     rows = rows.sort_values("_idx")
     out = []
-    for match, winner, loser, surface, k, live in zip(
-        rows.match_id, rows.winner_id, rows.loser_id, rows.surface, rows.k, rows.live
+    for row, winner, loser, surface, k, live in zip(
+        rows["_row"], rows.winner_id, rows.loser_id, rows.surface, rows.k, rows.live
     ):
         a, b = overall.get(winner, initial), overall.get(loser, initial)
         sa = on_surface.get((surface, winner), weight * a + (1.0 - weight) * initial)
@@ -60,8 +61,8 @@ def _rate(rows: pd.DataFrame, seeds: pd.DataFrame | None, initial: float, weight
         if live:
             overall[winner], overall[loser] = a + gain, b - gain
             on_surface[surface, winner], on_surface[surface, loser] = sa + surface_gain, sb - surface_gain
-        out.append((match, a, b, a + gain, b - gain, sa, sb, sa + surface_gain, sb - surface_gain))
-    return pd.DataFrame(out, columns=["match_id", *RATED, *[f"surface_{n}" for n in RATED]])
+        out.append((row, a, b, a + gain, b - gain, sa, sb, sa + surface_gain, sb - surface_gain))
+    return pd.DataFrame(out, columns=["_row", *RATED, *[f"surface_{n}" for n in RATED]])
 
 
 def _ratings_after(results: DataFrame, pool: Sequence[str]) -> DataFrame:
@@ -93,19 +94,25 @@ def rate_contests(
     config: RatingConfig | None = None,
     pool: Sequence[str] = ("tour",),
 ) -> DataFrame:
-    """Add pre/post ratings, their difference and the winner's expectancy, overall and on the surface."""
+    """Add pre/post ratings, their difference and the winner's expectancy, overall and on the surface.
+
+    Each row is one contest, whatever ids it shares with others; missing dates
+    and numbers are rated last. The rows are written once with a number, by
+    which their ratings come back.
+    """
     config = config or RatingConfig()
     require(contests, ["tourney_date", "winner_id", "loser_id", "winner_name", "loser_name", *pool], "contests")
     has_score = "score" in contests.columns
     has_level = "tourney_level" in contests.columns
     spark = contests.sparkSession
-    keyed = contests.withColumn("match_id", contest_id(contests))
+    keyed = spool(contests.select("*", F.monotonically_increasing_id().alias("_row")), "rating-rows")
     narrow = keyed.select(
         *pool,
+        "_row",
         "tourney_date",
         optional(keyed, "tourney_id", None, "string").alias("tourney_id"),
         optional(keyed, "match_num", None, "double").alias("match_num"),
-        "match_id",
+        contest_id(keyed).alias("match_id"),
         F.col("winner_id").cast("string").alias("winner_id"),
         F.col("loser_id").cast("string").alias("loser_id"),
         surface_bucket("surface", config).alias("surface") if "surface" in keyed.columns
@@ -117,7 +124,7 @@ def rate_contests(
     indexed = spool(
         global_index(narrow, order, "_idx", group=pool)
         .withColumn("_turn", F.floor(F.col("_idx") / config.turn_rows).cast("int"))
-        .select(*pool, "match_id", "winner_id", "loser_id", "surface", "k", "live", "_idx", "_turn"),
+        .select(*pool, "_row", "winner_id", "loser_id", "surface", "k", "live", "_idx", "_turn"),
         "turns",
         ("_turn",),
     )
@@ -146,7 +153,7 @@ def rate_contests(
                 )
             done = spool(done, "rated")
             parts.append(done)
-            newest = _ratings_after(batch.join(done, "match_id"), pool)
+            newest = _ratings_after(batch.join(done, "_row"), pool)
             if ratings is not None:
                 kept = ratings.join(newest, [*pool, "player_id", "surface"], "left_anti")
                 newest = newest.unionByName(kept)
@@ -156,7 +163,7 @@ def rate_contests(
             rated = rated.unionByName(part)
 
     named = rated.select(
-        "match_id",
+        "_row",
         *[
             F.col(f"{s}{side}_{when}").alias(f"{side}_{s}elo_{when}")
             for s in ("", "surface_")
@@ -164,7 +171,7 @@ def rate_contests(
             for side in ("winner", "loser")
         ],
     )
-    out = keyed.join(named, "match_id").drop("match_id")
+    out = keyed.join(named, "_row").drop("_row")
     for s in ("", "surface_"):
         mine, theirs = F.col(f"winner_{s}elo_pre"), F.col(f"loser_{s}elo_pre")
         out = out.withColumn(f"{s}elo_diff_pre", mine - theirs)

@@ -23,8 +23,13 @@ def parted(spark, sf_dir):
     return sp.with_split(fx.predictions(spark, sf_dir), fx.SPLIT)
 
 
-@query("time_split", sql(BASE, "SELECT match_id, split FROM parted WHERE surface = 'CLAY'"))
+@query("time_split", sql(BASE, "SELECT match_id, split FROM parted"))
 def time_split(spark, sf_dir):
+    return parted(spark, sf_dir).select("match_id", "split")
+
+
+@query("branch_split", sql(BASE, "SELECT match_id, split FROM parted WHERE surface = 'CLAY'"))
+def branch_split(spark, sf_dir):
     """One surface branch, split by date."""
     return parted(spark, sf_dir).filter("surface = 'CLAY'").select("match_id", "split")
 

@@ -250,8 +250,8 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction requests: one order in fifty asks for its two suppliers as of its week."""
-    return contests(spark, sf_dir).filter(F.col("match_num") % 50 == 0).select(
+    """Prediction requests: every contest asks for its two players as of its week."""
+    return contests(spark, sf_dir).select(
         F.col("match_num").alias("request_id"),
         "tour",
         F.col("winner_name").alias("player_a"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,15 +69,18 @@ def scan_years(
     return scan_csv(spark, paths, **kwargs), [y for y in years if not found[y]]
 
 
+def _plain(path: str) -> str:
+    """A whole path in one spelling, whether it came as a URI or not."""
+    return "/" + unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path)).lstrip("/")
+
+
 def split_by_encoding(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
     """Files that are valid UTF-8, and the others, judged line by line in parallel."""
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok")
     )
-    verdict = {
-        r.path.split("/")[-1]: r.ok for r in lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).collect()
-    }
-    good = [p for p in paths if verdict.get(p.split("/")[-1], True)]
+    verdict = {_plain(r.path): r.ok for r in lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).collect()}
+    good = [p for p in paths if verdict.get(_plain(p), True)]
     return good, [p for p in paths if p not in good]
 
 

@@ -63,3 +63,24 @@ def test_turns_give_the_same_ratings(spark, sf):
 def test_equal_gain_and_loss(spark, sf):
     moved = F.col("winner_elo_post") - F.col("winner_elo_pre") + F.col("loser_elo_post") - F.col("loser_elo_pre")
     assert rate_contests(fx.contests(spark, sf)).agg(F.max(F.abs(moved))).first()[0] < 1e-9
+
+
+def test_shared_ids_and_missing_numbers(spark):
+    """Tours may share ids, rows may repeat, and a missing number is rated last."""
+    from duelframe.operators.longview import long_view
+    from duelframe.operators.pairing import pair_wide
+
+    rows = [("2024-01-01", None, "1", "2", "Hard", None), ("2024-01-01", 5, "1", "3", "Hard", None)]
+    one = frame(spark, rows)
+    two = one.withColumn("tour", F.lit("u"))
+    rated = rate_contests(one.union(two)).collect()
+    assert len(rated) == 4
+    assert all(r.winner_elo_pre == (1512.0 if r.match_num is None else 1500.0) for r in rated)
+    again = rate_contests(one.union(one)).collect()
+    assert len(again) == 4 and len({r.winner_elo_pre for r in again}) == 4
+
+    wide = pair_wide(long_view(rate_contests(one.union(two))))
+    assert sorted((r.tour, r.match_id) for r in wide.collect()) == [("t", "e__"), ("t", "e__5"), ("u", "e__"), ("u", "e__5")]
+    with pytest.raises(Exception, match="without exactly two sides"):
+        pair_wide(long_view(rate_contests(one.union(one)))).collect()
+    assert pair_wide(long_view(rate_contests(one.union(one))), unpaired="drop").count() == 0

@@ -70,8 +70,8 @@ def test_harmonise_takes_the_first_known_name(spark):
 
 
 def test_validation(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",)], "match_id string")
-    assert [r.match_id for r in unpaired_contests(df).collect()] == ["b"]
+    df = spark.createDataFrame([("a", "t"), ("a", "t"), ("b", "t"), ("c", "t"), ("c", "u")], "match_id string, tour string")
+    assert sorted((r.match_id, r.tour) for r in unpaired_contests(df).collect()) == [("b", "t"), ("c", "t"), ("c", "u")]
     with pytest.raises(ValueError, match="odd"):
         demand_valid(df, {"odd": F.col("match_id") == "b"})
     with pytest.raises(ValueError, match="lacks"):
@@ -85,3 +85,13 @@ def test_reference_range_is_optional(spark):
     assert ingest.within_dates_of(df, None) is df
     with pytest.raises(ValueError):
         ingest.within_dates_of(df, df.filter("false"))
+
+
+def test_encodings_of_files_with_one_name(spark, tmp_path):
+    from duelframe.sources.files import scan_csv_any_encoding
+
+    for folder, encoding in (("2019 a", "utf-8"), ("2020", "latin-1")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "m.csv").write_bytes("name\nJosé\n".encode(encoding))
+    paths = [str(p) for p in sorted(tmp_path.glob("*/m.csv"))]
+    assert [r.name for r in scan_csv_any_encoding(spark, paths).collect()] == ["José", "José"]
