@@ -32,11 +32,13 @@ from duelframe.session import ship, spool
 THRESHOLD = 0.98
 SHARD, QUERY_BLOCK = 8192, 2048
 #: Links of a vector per level, on the lowest level, and the beams for building and for the first search.
-LINKS, LOW_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 48
+LINKS, LOW_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 24
 AUDITED = 96
 BATCH = 256
 #: Beam entries expanded at once.
 STEP = 4
+#: A beam of more than this part of the shard costs more than all of the shard, which then is the next beam.
+SCAN_SHARE = 32
 
 
 @dataclass
@@ -163,10 +165,14 @@ def build_graph(rows: np.ndarray, seed: int = 11) -> Graph:
     return graph
 
 
-def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, seed: int = 5) -> list[np.ndarray]:
+def find_links(
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, seed: int = 5
+) -> list[np.ndarray]:
     """Positions of the vectors whose cosine with each query reaches ``threshold``, the query's own position included.
 
-    ``exact`` and ``queries`` hold unit vectors in double precision.
+    ``exact`` and ``queries`` hold unit vectors in double precision; ``own`` is
+    the position of a query that is a vector of the graph (-1 otherwise): it
+    enters there, among its neighbours, as well as from above.
     """
     n, low = len(exact), threshold - 1e-4
     narrow = queries.astype(np.float32)
@@ -183,7 +189,8 @@ def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold:
                 for k, q in enumerate(batch):
                     found[q] = np.flatnonzero(near[k] >= threshold)
                 continue
-            ids, sims = beam_search(graph.rows, graph.links[0], narrow[batch], _descend(graph, narrow[batch], 0), width)
+            entry = np.concatenate([_descend(graph, narrow[batch], 0), own[batch, None]], axis=1)
+            ids, sims = beam_search(graph.rows, graph.links[0], narrow[batch], entry, width)
             for k, q in enumerate(batch):
                 hits = ids[k][(sims[k] >= low) & (ids[k] >= 0)]
                 if len(hits) * 2 > width:
@@ -195,7 +202,7 @@ def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold:
         open_ = set(wider)
         missed = any(q not in open_ and len(np.setdiff1d(t, found[q])) for q, t in zip(audited.tolist(), truth))
         waiting = np.arange(len(queries)) if missed else np.array(wider, dtype=int)
-        width = min(n, width * 4)
+        width = width * 4 if width * 4 * SCAN_SHARE < n else n
     return found
 
 
@@ -306,7 +313,8 @@ def near_duplicate_vectors(
             return rows_of(none, none, none, False)
         ids, copies, exact, graph = load(left.iloc[0])
         names = right["rep"].to_numpy(np.int64)
-        found = find_links(graph, exact, units(right), threshold)
+        own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)  # a shard's ids are in order
+        found = find_links(graph, exact, units(right), np.where(ids[own] == names, own, -1), threshold)
         found = [f[ids[f] != name] for f, name in zip(found, names)]
         linked = np.array([copies[f].sum() for f in found], dtype=np.int64)
         forest = _spanning(found, names, ids)

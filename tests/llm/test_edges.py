@@ -202,7 +202,7 @@ def test_graph_recall():
     graph = near_vectors.build_graph(x.astype(np.float32))
     ids, _ = near_vectors.beam_search(graph.rows, graph.links[0], near.astype(np.float32), near_vectors._descend(graph, near.astype(np.float32), 0), 48)
     assert np.mean([k in ids[k] for k in range(len(x))]) >= 0.9
-    found = near_vectors.find_links(graph, x, near, 0.98)
+    found = near_vectors.find_links(graph, x, near, np.full(len(x), -1), 0.98)
     truth = near @ x.T >= 0.98
     assert sum(len(f) for f in found) >= 0.9 * truth.sum() and all(truth[k, f].all() for k, f in enumerate(found))
 
