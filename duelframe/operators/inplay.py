@@ -1,170 +1,180 @@
 """Match-win probability from a live score, for whole tables of states.
 
-From any score the rest of a set (or tiebreak) is a polynomial in the two
-players' chances on their own serve. Its coefficients depend only on the score,
-so they form a small fixed table (98 scores) that is broadcast and looked up;
-the sums are evaluated where the state rows lie, without a shuffle.
+From any score the rest of a match is a small grid: points of a tiebreak, games
+of a set, sets of a match. The grids are filled backwards for a batch of rows at
+a time, each cell one array over the rows, inside one Arrow function; a state
+then looks its score up. Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
-from functools import reduce
-from operator import mul
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelframe.functions.points import label_count
-from duelframe.functions.probability import (
-    TIEBREAK_LIMIT, bound, clip, hold, power, powers, serves_first_set, serves_first_tiebreak, tiebreak, total, two_clear,
-)
-
-TERM = "array<struct<c:double,a1:int,a2:int,b1:int,b2:int>>"
-TOP = 6  # each player serves at most six of twelve trials
-
-
-def _ways(a: int, b: int, a_serves: Callable[[int], bool], over: Callable[[int, int], str | None]) -> dict:
-    """Count the ways to each end from (a, b): {(end, trials % 2): {exponents: ways}}.
-
-    Exponents: A won / lost on own serve, A won / lost on B's serve.
-    """
-    level = {(a, b): Counter({(0, 0, 0, 0): 1})}
-    ends: dict = {}
-    trials = 0
-    while level:
-        following: dict = {}
-        for (x, y), terms in level.items():
-            end = over(x, y)
-            if end:
-                ends.setdefault((end, trials % 2), Counter()).update(terms)
+from duelframe.functions.probability import EDGE, NEUTRAL, TIEBREAK_LIMIT, clip, serves_first_tiebreak
+from duelframe.session import ship
+
+ship(__name__)
+ship("duelframe.functions.probability")
+
+#: Rows whose grids are filled at once.
+ROWS = 4096
+#: How a set can end: A or B wins it, and who serves first in the next one.
+ENDS = ("win_A", "win_B", "lose_A", "lose_B")
+SIDES = (0, 1)  # A and B as servers
+
+
+def hold_chance(p: np.ndarray) -> np.ndarray:
+    """P(server wins a game) from P(server wins a point)."""
+    return np.clip(p**4 * (15.0 - 34.0 * p + 28.0 * p**2 - 8.0 * p**3) / (1.0 - 2.0 * p + 2.0 * p**2), 0.0, 1.0)
+
+
+def two_clear(x: np.ndarray, y: np.ndarray, rounds: np.ndarray | float) -> np.ndarray:
+    """P(A goes two ahead from level) in so many rounds won with x and lost with y, then a coin toss."""
+    again = (1.0 - x - y) ** rounds
+    return x / (x + y) * (1.0 - again) + NEUTRAL * again
+
+
+def game_grid(p: np.ndarray) -> np.ndarray:
+    """P(A wins the game) by points of A and B up to 3, with p = P(A wins a point)."""
+    deuce = p**2 / (p**2 + (1 - p) ** 2)
+    grid = np.empty((4, 4, len(p)))
+    for x in range(3, -1, -1):
+        for y in range(3, -1, -1):
+            won = grid[x + 1, y] if x < 3 else 1.0
+            lost = grid[x, y + 1] if y < 3 else 0.0
+            grid[x, y] = deuce if x == y == 3 else p * won + (1 - p) * lost
+    return grid
+
+
+def tiebreak_grid(pa: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """P(A wins the tiebreak) by opener and points up to 6-6."""
+    level = two_clear(pa * (1 - pb), (1 - pa) * pb, (TIEBREAK_LIMIT - 12) // 2)
+    grid = np.empty((2, 7, 7, len(pa)))
+    for opener in SIDES:
+        for x in range(6, -1, -1):
+            for y in range(6, -1, -1):
+                if x == y == 6:
+                    grid[opener, x, y] = level
+                    continue
+                a_serves = serves_first_tiebreak(x + y) == (opener == 0)
+                p = pa if a_serves else 1 - pb
+                won = grid[opener, x + 1, y] if x < 6 else 1.0
+                lost = grid[opener, x, y + 1] if y < 6 else 0.0
+                grid[opener, x, y] = p * won + (1 - p) * lost
+    return grid
+
+
+def set_grid(ha: np.ndarray, hb: np.ndarray, tiebreak: np.ndarray) -> np.ndarray:
+    """Chances of the four ends by games of A and B and the next server; ``tiebreak`` by opener."""
+    grid = np.zeros((7, 7, 2, 4, len(ha)))
+
+    def after(x: int, y: int, server: int) -> np.ndarray:
+        if max(x, y) >= 6 and abs(x - y) >= 2:
+            end = np.zeros((4, len(ha)))
+            end[server if x > y else 2 + server] = 1.0
+            return end
+        return grid[x, y, server]
+
+    for x in range(6, -1, -1):
+        for y in range(6, -1, -1):
+            if max(x, y) >= 6 and abs(x - y) >= 2:
                 continue
-            on_own = a_serves(x + y)
-            for wins, slot in ((True, 0 if on_own else 2), (False, 1 if on_own else 3)):
-                into = following.setdefault((x + 1, y) if wins else (x, y + 1), Counter())
-                for exponents, ways in terms.items():
-                    raised = list(exponents)
-                    raised[slot] += 1
-                    into[tuple(raised)] += ways
-        level, trials = following, trials + 1
-    return ends
-
-
-def _set_over(x: int, y: int) -> str | None:
-    if x == y == 6:
-        return "level"
-    if max(x, y) >= 6 and abs(x - y) >= 2:
-        return "win" if x > y else "lose"
-    return None
+            for server in SIDES:
+                other = 1 - server
+                if x == y == 6:  # the next server opens the tiebreak, the other one the next set
+                    grid[x, y, server, other] = tiebreak[server]
+                    grid[x, y, server, 2 + other] = 1.0 - tiebreak[server]
+                else:
+                    p = ha if server == 0 else 1 - hb
+                    grid[x, y, server] = p * after(x + 1, y, other) + (1 - p) * after(x, y + 1, other)
+    return grid
 
 
-def _tiebreak_over(x: int, y: int) -> str | None:
-    if x == y == 6:
-        return "level"
-    if max(x, y) >= 7:
-        return "win" if x > y else "lose"
-    return None
+def match_grid(start: np.ndarray) -> np.ndarray:
+    """P(A wins the match) by sets that A and B still need (0 to 3) and the server of the next set.
 
-
-def _terms(counter: Counter) -> list[tuple]:
-    return [(float(ways), *exponents) for exponents, ways in sorted(counter.items())]
-
-
-SET_PARTS = ("win_even", "win_odd", "lose_even", "lose_odd", "level")
-
-
-def set_rows() -> list[tuple]:
-    """Per unfinished set score and next server: ways to win, lose or reach 6-6,
-    split by whether an even or odd number of games is left."""
-    rows = []
-    for x in range(7):
-        for y in range(7):
-            if _set_over(x, y) in ("win", "lose"):
-                continue
-            for server in "AB":
-                starts = server == "A"
-                ends = _ways(x, y, lambda i, n=x + y: serves_first_set(i - n) == starts, _set_over)
-                get = lambda end, odd: _terms(ends.get((end, odd), Counter()))
-                left = 12 - x - y
-                opener_is_next = left % 2 == 0
-                rows.append((
-                    x, y, server, get("win", 0), get("win", 1), get("lose", 0), get("lose", 1), get("level", left % 2),
-                    server if opener_is_next else ("B" if server == "A" else "A"),
-                ))
-    return rows
-
-
-def set_table(spark: SparkSession) -> DataFrame:
-    names = [f"{k} {TERM}" for k in SET_PARTS]
-    return spark.createDataFrame(set_rows(), f"g_a int, g_b int, next string, {', '.join(names)}, opener string")
-
-
-def tiebreak_table(spark: SparkSession) -> DataFrame:
-    """Per tiebreak score up to 6-6 and opening server: ways to win and to reach 6-6."""
-    rows = []
-    for x in range(7):
-        for y in range(7):
-            for opener in "AB":
-                ends = _ways(x, y, lambda i: serves_first_tiebreak(i) == (opener == "A"), _tiebreak_over)
-                merged = {end: Counter() for end in ("win", "level")}
-                for (end, _), terms in ends.items():
-                    if end in merged:
-                        merged[end].update(terms)
-                rows.append((x, y, opener, _terms(merged["win"]), _terms(merged["level"])))
-    return spark.createDataFrame(rows, f"t_a int, t_b int, opener string, tb_win {TERM}, tb_level {TERM}")
-
-
-def _sum(terms: str, on_a: str, on_b: str) -> Column:
-    """Polynomial value; ``on_a`` and ``on_b`` name arrays of power arrays (won, lost)."""
-    return F.aggregate(
-        F.col(terms), F.lit(0.0),
-        lambda acc, t: acc + t.c * F.get(f"{on_a}_won", t.a1) * F.get(f"{on_a}_lost", t.a2)
-        * F.get(f"{on_b}_won", t.b1) * F.get(f"{on_b}_lost", t.b2),
+    ``start``: chances of the four ends of a new set by its first server.
+    """
+    grid = np.zeros((4, 4, 2, start.shape[-1]))
+    grid[0] = 1.0
+    for i in range(1, 4):
+        for j in range(1, 4):
+            for server in SIDES:
+                end = start[server]
+                grid[i, j, server] = sum(end[t] * grid[i - 1, j, t] + end[2 + t] * grid[i, j - 1, t] for t in SIDES)
+    return grid
+
+
+def win_chance(
+    pa: np.ndarray, pb: np.ndarray, sets: tuple[np.ndarray, np.ndarray], games: tuple[np.ndarray, np.ndarray],
+    points: tuple[np.ndarray, np.ndarray], server: np.ndarray, target: np.ndarray,
+) -> np.ndarray:
+    """P(A wins the match) of valid states; server is 0 for A and 1 for B."""
+    row = np.arange(len(pa))
+    tiebreak = tiebreak_grid(pa, pb)
+    ends = set_grid(hold_chance(pa), hold_chance(pb), tiebreak[:, 0, 0])
+    match = match_grid(ends[0, 0])
+    need_a, need_b = target - sets[0], target - sets[1]
+    over = (need_a <= 0) | (need_b <= 0)
+    at_a, at_b = np.clip(need_a, 1, 3), np.clip(need_b, 1, 3)
+    # value after this set, by who serves first in the next one
+    won = [match[at_a - 1, at_b, t, row] for t in SIDES]
+    lost = [match[at_a, at_b - 1, t, row] for t in SIDES]
+    other = 1 - server
+
+    def next_set(wins: bool, first: np.ndarray) -> np.ndarray:
+        value = won if wins else lost
+        return np.where(first == 0, value[0], value[1])
+
+    def rest_of_set(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Value with the game over at x-y and the other player to serve."""
+        inside = (np.maximum(x, y) < 6) | (np.abs(x - y) < 2)
+        end = ends[np.minimum(x, 6), np.minimum(y, 6), other, :, row]
+        open_ = end[:, 0] * won[0] + end[:, 1] * won[1] + end[:, 2] * lost[0] + end[:, 3] * lost[1]
+        return np.where(inside, open_, np.where(x > y, next_set(True, other), next_set(False, other)))
+
+    a, b = points
+    point = np.where(server == 0, pa, 1 - pb)  # P(A wins the next point)
+    deuce = point**2 / (point**2 + (1 - point) ** 2)
+    both = (a >= 3) & (b >= 3)
+    game = np.select(
+        [(a >= 4) & (a - b >= 2), (b >= 4) & (b - a >= 2), both & (a == b), both & (a > b), both],
+        [1.0, 0.0, deuce, point + (1 - point) * deuce, point * deuce],
+        game_grid(point)[np.minimum(a, 3), np.minimum(b, 3), row],
     )
+    in_game = game * rest_of_set(games[0] + 1, games[1]) + (1 - game) * rest_of_set(games[0], games[1] + 1)
+
+    played, ahead = a + b, a - b
+    opens = (played == 0) | ((played - 1) // 2 % 2 == 1)
+    opener = np.where(opens, server, other)
+    level = two_clear(pa * (1 - pb), (1 - pa) * pb, np.maximum(0.0, (TIEBREAK_LIMIT - played - np.abs(ahead)) / 2))
+    chance = np.select(
+        [(a >= 7) & (ahead >= 2), (b >= 7) & (ahead <= -2), (a < 6) | (b < 6), played >= TIEBREAK_LIMIT, ahead == 0, ahead == 1],
+        [1.0, 0.0, tiebreak[opener, np.minimum(a, 6), np.minimum(b, 6), row], NEUTRAL, level, point + (1 - point) * level],
+        point * level,
+    )
+    in_tiebreak = chance * next_set(True, 1 - opener) + (1 - chance) * next_set(False, 1 - opener)
+    value = np.where((games[0] == 6) & (games[1] == 6), in_tiebreak, in_game)
+    return np.clip(np.where(over, np.where(need_a <= 0, 1.0, 0.0), value), 0.0, 1.0)
 
 
-def game_from(a: Column, b: Column, p: Column) -> Column:
-    """P(A wins the current game) from point counts, with p = P(A wins a point)."""
-    q = 1 - p
-    deuce = power(p, 2) / (power(p, 2) + power(q, 2))
-    both = (a >= 3) & (b >= 3)
-    value = (
-        F.when((a >= 4) & (a - b >= 2), 1.0).when((b >= 4) & (b - a >= 2), 0.0)
-        .when(both & (a == b), deuce).when(both & (a > b), p + q * deuce).when(both, p * deuce)
-    )
-    for x in range(4):
-        for y in range(4):
-            if x == y == 3:
-                continue
-            ends: Counter = Counter()
-            stack = Counter({(x, y, 0, 0): 1})
-            while stack:
-                (u, v, won, lost), ways = stack.popitem()
-                if (u, v) == (3, 3) or u == 4:
-                    ends[won, lost, u == 4] += ways
-                elif v < 4:
-                    stack[u + 1, v, won + 1, lost] += ways
-                    stack[u, v + 1, won, lost + 1] += ways
-            poly = total(
-                float(ways) * power(p, won) * power(q, lost) * (F.lit(1.0) if over else deuce)
-                for (won, lost, over), ways in sorted(ends.items())
-            )
-            value = value.when((a == x) & (b == y), poly)
-    return value
-
-
-def _polynomial(terms: list[tuple], on_a: str, on_b: str) -> Column:
-    """The same value written out, for terms known when the plan is built."""
-    names = (f"{on_a}_won", f"{on_a}_lost", f"{on_b}_won", f"{on_b}_lost")
-    return total(
-        reduce(mul, [F.get(n, F.lit(e)) for n, e in zip(names, exponents) if e], F.lit(ways))
-        for ways, *exponents in terms
-    ) if terms else F.lit(0.0)
-
-
-def _other(server: Column) -> Column:
-    return F.when(server == "A", "B").otherwise("A")
+@F.pandas_udf(T.DoubleType())
+def _win_chance(
+    pa: pd.Series, pb: pd.Series, sa: pd.Series, sb: pd.Series, ga: pd.Series, gb: pd.Series,
+    ca: pd.Series, cb: pd.Series, serves: pd.Series, target: pd.Series,
+) -> pd.Series:
+    p = [np.clip(x.to_numpy(float), EDGE, 1 - EDGE) for x in (pa, pb)]
+    n = [x.to_numpy(np.int64) for x in (sa, sb, ga, gb, ca, cb, serves, target)]
+    out = np.empty(len(pa))
+    for first in range(0, len(out), ROWS):
+        k = slice(first, first + ROWS)
+        out[k] = win_chance(p[0][k], p[1][k], (n[0][k], n[1][k]), (n[2][k], n[3][k]), (n[4][k], n[5][k]), n[6][k], n[7][k])
+    return pd.Series(out)
 
 
 def problem(df_cols: dict[str, Column]) -> Column:
@@ -186,144 +196,29 @@ def score_states(
 ) -> DataFrame:
     """Add P(A wins the match) and ``<out>_problem`` for states that cannot be scored.
 
-    A tiebreak is played at 6-6 in every set.
+    A tiebreak is played at 6-6 in every set. States with a missing set or game
+    count have no probability.
     """
-    spark = states.sparkSession
-    keep = states.columns
-    best = F.coalesce(F.col(best_of).try_cast("int"), F.lit(3))
+    c = F.col
+    best = F.coalesce(c(best_of).try_cast("int"), F.lit(3))
     df = states.select(
         "*",
-        *[F.col(x).cast("int").alias(f"_{n}") for n, x in zip(("sa", "sb", "ga", "gb"), (*sets, *games))],
-        label_count(F.col(points[0])).alias("_ca"), label_count(F.col(points[1])).alias("_cb"),
-        F.upper(F.trim(server)).alias("_s"),
-        clip(F.col(p[0])).alias("_pa"), clip(F.col(p[1])).alias("_pb"),
-        F.when(best == 5, 3).otherwise(2).alias("_target"),
+        *[c(x).cast("int").alias(f"_{n}") for n, x in zip(("sa", "sb", "ga", "gb"), (*sets, *games))],
+        label_count(c(points[0])).cast("int").alias("_ca"), label_count(c(points[1])).cast("int").alias("_cb"),
+        F.upper(F.trim(server)).alias("_s"), F.when(best == 5, 3).otherwise(2).alias("_target"),
     )
-    c = F.col
     df = df.withColumn("_why", problem({
         "sets_a": c("_sa"), "sets_b": c("_sb"), "games_a": c("_ga"), "games_b": c("_gb"),
         "count_a": c("_ca"), "count_b": c("_cb"), "server": c("_s"), "target": c("_target"),
     }))
-    points_played = c("_ca") + c("_cb")
-    opener_serves = (points_played == 0) | (F.floor((points_played - 1) / 2) % 2 == 1)
-    df = df.select(
-        "*",
-        hold(c("_pa"), True).alias("_ha"), hold(c("_pb"), True).alias("_hb"),
-        ((c("_ga") == 6) & (c("_gb") == 6)).alias("_tb"),
-        tiebreak(c("_pa"), c("_pb"), True, True).alias("_tbA"), tiebreak(c("_pa"), c("_pb"), False, True).alias("_tbB"),
-        _other(c("_s")).alias("_next"),
-        F.when(opener_serves, c("_s")).otherwise(_other(c("_s"))).alias("_opener"),
-        F.when(c("_s") == "A", c("_pa")).otherwise(1 - c("_pb")).alias("_point"),
-    )
-    # power arrays: A on own serve, A on B's serve, for games and for points
-    df = df.select(
-        "*",
-        powers(c("_ha"), TOP).alias("_gA_won"), powers(1 - c("_ha"), TOP).alias("_gA_lost"),
-        powers(1 - c("_hb"), TOP).alias("_gB_won"), powers(c("_hb"), TOP).alias("_gB_lost"),
-        powers(c("_pa"), TOP).alias("_pA_won"), powers(1 - c("_pa"), TOP).alias("_pA_lost"),
-        powers(1 - c("_pb"), TOP).alias("_pB_won"), powers(c("_pb"), TOP).alias("_pB_lost"),
-        game_from(c("_ca"), c("_cb"), c("_point")).alias("_game"),
-    )
-    table = set_table(spark)
-    start = {row[2]: dict(zip(SET_PARTS, row[3:8])) for row in set_rows() if row[:2] == (0, 0)}
-    # P(winner, next server) of a whole set, per first server
-    columns = []
-    for s, o in (("A", "B"), ("B", "A")):
-        part = {k: _polynomial(terms, "_gA", "_gB") for k, terms in start[s].items()}
-        tb = c(f"_tb{s}")
-        columns += [
-            part["win_even"].alias(f"_w{s}{s}"),
-            (part["win_odd"] + part["level"] * tb).alias(f"_w{s}{o}"),
-            part["lose_even"].alias(f"_l{s}{s}"),
-            (part["lose_odd"] + part["level"] * (1 - tb)).alias(f"_l{s}{o}"),
-        ]
-    df = df.select("*", *columns)
-    # value at the start of a set when A still needs i sets and B needs j
-    for level in range(2, 7):
-        cells = []
-        for i in range(1, 4):
-            j = level - i
-            if not 1 <= j <= 3:
-                continue
-            for s in "AB":
-                won = {t: F.lit(1.0) if i == 1 else c(f"_m{i - 1}{j}{t}") for t in "AB"}
-                lost = {t: F.lit(0.0) if j == 1 else c(f"_m{i}{j - 1}{t}") for t in "AB"}
-                cells.append(
-                    total([c(f"_w{s}{t}") * won[t] + c(f"_l{s}{t}") * lost[t] for t in "AB"]).alias(f"_m{i}{j}{s}")
-                )
-        df = df.select("*", *cells)
-    for s in "AB":
-        grid = [
-            F.lit(1.0) if i == 0 else F.lit(0.0) if j == 0 else c(f"_m{i}{j}{s}") for i in range(4) for j in range(4)
-        ]
-        df = df.withColumn(f"_v{s}", F.array(*grid))
-
-    need_a, need_b = c("_target") - c("_sa"), c("_target") - c("_sb")
-
-    def value(i: Column, j: Column, s: Column) -> Column:
-        at = (i * 4 + j).cast("int")
-        return F.when(s == "A", F.get("_vA", at)).otherwise(F.get("_vB", at))
-
-    def after_win(t: Column) -> Column:
-        return value(need_a - 1, need_b, t)
-
-    def after_loss(t: Column) -> Column:
-        return value(need_a, need_b - 1, t)
-
-    # both ways the current game can end, each with the rest of its set
-    for who, da, db in (("a", 1, 0), ("b", 0, 1)):
-        branch = table.select(
-            F.col("g_a").alias(f"_ga_{who}"), F.col("g_b").alias(f"_gb_{who}"), F.col("next").alias("_next"),
-            *[F.col(k).alias(f"_{who}_{k}") for k in ("win_even", "win_odd", "lose_even", "lose_odd", "level", "opener")],
-        )
-        df = df.withColumns({f"_ga_{who}": c("_ga") + da, f"_gb_{who}": c("_gb") + db}).join(
-            F.broadcast(branch), [f"_ga_{who}", f"_gb_{who}", "_next"], "left"
-        )
-        g_a, g_b = c(f"_ga_{who}"), c(f"_gb_{who}")
-        same, turn = c("_next"), _other(c("_next"))
-        opener = c(f"_{who}_opener")
-        tb = F.when(opener == "A", c("_tbA")).otherwise(c("_tbB"))
-        rest = (
-            _sum(f"_{who}_win_even", "_gA", "_gB") * after_win(same)
-            + _sum(f"_{who}_win_odd", "_gA", "_gB") * after_win(turn)
-            + _sum(f"_{who}_lose_even", "_gA", "_gB") * after_loss(same)
-            + _sum(f"_{who}_lose_odd", "_gA", "_gB") * after_loss(turn)
-            + _sum(f"_{who}_level", "_gA", "_gB") * (tb * after_win(_other(opener)) + (1 - tb) * after_loss(_other(opener)))
-        )
-        df = df.withColumn(
-            f"_v_{who}",
-            F.when((g_a >= 6) & (g_a - g_b >= 2), after_win(c("_next")))
-            .when((g_b >= 6) & (g_b - g_a >= 2), after_loss(c("_next")))
-            .otherwise(rest),
-        )
-    # a tiebreak under way
-    df = df.join(
-        F.broadcast(tiebreak_table(spark).toDF("_ca", "_cb", "_opener", "_tb_win", "_tb_level")),
-        ["_ca", "_cb", "_opener"], "left",
-    )
-    x, y = c("_pa") * (1 - c("_pb")), (1 - c("_pa")) * c("_pb")
-    diff = c("_ca") - c("_cb")
-    rounds_left = (F.lit(TIEBREAK_LIMIT) - points_played - F.abs(diff)) / 2
-    level_again = two_clear(x, y, rounds_left)
-    deep = (
-        F.when(points_played >= TIEBREAK_LIMIT, 0.5)
-        .when(diff == 0, level_again)
-        .when(diff == 1, c("_point") + (1 - c("_point")) * level_again)
-        .otherwise(c("_point") * level_again)
-    )
-    early = _sum("_tb_win", "_pA", "_pB") + _sum("_tb_level", "_pA", "_pB") * two_clear(x, y, (TIEBREAK_LIMIT - 12) // 2)
-    tb_now = (
-        F.when((c("_ca") >= 7) & (diff >= 2), 1.0).when((c("_cb") >= 7) & (diff <= -2), 0.0)
-        .when((c("_ca") >= 6) & (c("_cb") >= 6), deep).otherwise(early)
-    )
-    df = df.withColumn("_tb_now", tb_now)
-    in_tiebreak = c("_tb_now") * after_win(_other(c("_opener"))) + (1 - c("_tb_now")) * after_loss(_other(c("_opener")))
-    in_game = c("_game") * c("_v_a") + (1 - c("_game")) * c("_v_b")
-    return df.select(
-        *keep,
-        F.when(c("_why").isNull(), bound(
-            F.when(c("_sa") >= c("_target"), 1.0).when(c("_sb") >= c("_target"), 0.0)
-            .when(c("_tb"), in_tiebreak).otherwise(in_game)
-        )).alias(out),
-        c("_why").alias(f"{out}_problem"),
-    )
+    numbers = ("_sa", "_sb", "_ga", "_gb", "_ca", "_cb")
+    valid = c("_why").isNull()
+    for name in numbers:
+        valid = valid & c(name).isNotNull()
+    # what cannot be scored runs as a new match and is set to null afterwards
+    df = df.withColumn("_prob", _win_chance(
+        clip(c(p[0]).cast("double")), clip(c(p[1]).cast("double")),
+        *[F.when(valid, c(name)).otherwise(0) for name in numbers],
+        F.when(valid & (c("_s") == "B"), 1).otherwise(0), c("_target"),
+    ))
+    return df.select(*states.columns, F.when(valid, c("_prob")).alias(out), c("_why").alias(f"{out}_problem"))
