@@ -1,25 +1,24 @@
-"""Closed-form scoring probabilities as Column expressions.
+"""Scoring probabilities as Column expressions.
 
-The server of point or game number i is fixed by i, so "A won w of the first m"
-is a sum of two independent binomials, one per server. Every function below is
-a finite sum of such terms and stays inside generated code; nothing iterates
-over rows or states at run time.
+Games and matches are short polynomials in generated code; tiebreaks and sets
+are grids (:mod:`duelframe.functions.grids`) in Arrow functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
-from math import comb
-from operator import add
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from duelframe.functions import grids
+from duelframe.functions.grids import EDGE, NEUTRAL
+from duelframe.session import ship
+
+ship(__name__)
 
-# fixed values
-NEUTRAL = 0.5
-EDGE = 0.01
-TIEBREAK_LIMIT = 60
+# fixed value
 PRIOR_STRENGTH = 48.0
 
 
@@ -32,10 +31,6 @@ def bound(p: Column) -> Column:
     return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
-def total(terms: Iterable[Column]) -> Column:
-    return reduce(add, terms)
-
-
 def power(x: Column, n: int) -> Column:
     """x to a small whole power by squaring, cheaper than pow()."""
     if n == 0:
@@ -45,48 +40,6 @@ def power(x: Column, n: int) -> Column:
     return x * whole if n % 2 and n > 1 else (x if n == 1 else whole)
 
 
-def powers(x: Column, top: int) -> Column:
-    """Array of x^0 .. x^top."""
-    return F.array(*[power(x, n) for n in range(top + 1)])
-
-
-def serves_first_tiebreak(i: int) -> bool:
-    """Does the player who opened the tiebreak serve point i?"""
-    return i == 0 or (i - 1) // 2 % 2 == 1
-
-
-def serves_first_set(i: int) -> bool:
-    return i % 2 == 0
-
-
-def won_of(m: int, wins: int, opener: Callable[[int], bool], on_first: Column, on_other: Column) -> Column:
-    """P(A wins ``wins`` of the first m trials); ``on_first`` is P(A wins) when the opener serves."""
-    firsts = sum(opener(i) for i in range(m))
-    others = m - firsts
-    return total(
-        F.lit(float(comb(firsts, j) * comb(others, wins - j)))
-        * power(on_first, j) * power(1 - on_first, firsts - j)
-        * power(on_other, wins - j) * power(1 - on_other, others - wins + j)
-        for j in range(max(0, wins - others), min(firsts, wins) + 1)
-    )
-
-
-def _race(target: int, latest: int, opener: Callable[[int], bool], on_first: Column, on_other: Column) -> Column:
-    """P(A reaches ``target`` first with B below ``latest``, without a decider)."""
-    return total(
-        won_of(target - 1 + k, target - 1, opener, on_first, on_other)
-        * (on_first if opener(target - 1 + k) else on_other)
-        for k in range(latest)
-    )
-
-
-def two_clear(x: Column, y: Column, rounds: Column | int) -> Column:
-    """P(A goes two ahead from level): rounds of two trials, won with x, lost with y,
-    and a coin toss when the rounds run out."""
-    again = F.pow(1 - x - y, F.lit(rounds) if isinstance(rounds, int) else rounds)
-    return x / (x + y) * (1 - again) + NEUTRAL * again
-
-
 def hold(p: Column, clipped: bool = False) -> Column:
     """P(server wins a game) from P(server wins a point)."""
     if not clipped:
@@ -95,17 +48,25 @@ def hold(p: Column, clipped: bool = False) -> Column:
     return bound(up / (1.0 - 2.0 * p + 2.0 * power(p, 2)))
 
 
-def tiebreak(p_a: Column, p_b: Column, a_first: bool, clipped: bool = False) -> Column:
-    """P(A wins a tiebreak) from 0-0, truncated at 60 points.
+@F.pandas_udf(T.DoubleType())
+def _tiebreak(p_a: pd.Series, p_b: pd.Series, opener: pd.Series) -> pd.Series:
+    grid = grids.tiebreak_grid(p_a.to_numpy(float), p_b.to_numpy(float))[:, 0, 0]
+    return pd.Series(np.where(opener == 0, grid[0], grid[1]))
+
+
+@F.pandas_udf(T.DoubleType())
+def _set_win(hold_a: pd.Series, hold_b: pd.Series, p_a: pd.Series, p_b: pd.Series, server: pd.Series) -> pd.Series:
+    tiebreaks = grids.tiebreak_grid(p_a.to_numpy(float), p_b.to_numpy(float))[:, 0, 0]
+    ends = grids.set_grid(hold_a.to_numpy(float), hold_b.to_numpy(float), tiebreaks)[0, 0]
+    won = ends[:, 0] + ends[:, 1]
+    return pd.Series(np.where(server == 0, won[0], won[1]))
 
-    Inputs that are already clipped columns keep the expression small.
-    """
+
+def tiebreak(p_a: Column, p_b: Column, a_first: bool, clipped: bool = False) -> Column:
+    """P(A wins a tiebreak) from 0-0, truncated at 60 points."""
     if not clipped:
         p_a, p_b = clip(p_a), clip(p_b)
-    first, other = (p_a, 1 - p_b) if a_first else (1 - p_b, p_a)
-    level = won_of(12, 6, serves_first_tiebreak, first, other)
-    ahead = two_clear(first * other, (1 - first) * (1 - other), (TIEBREAK_LIMIT - 12) // 2)
-    return bound(_race(7, 6, serves_first_tiebreak, first, other) + level * ahead)
+    return bound(_tiebreak(p_a, p_b, F.lit(0 if a_first else 1)))
 
 
 def set_win(
@@ -113,14 +74,8 @@ def set_win(
 ) -> Column:
     """P(A wins a set) from 0-0 with a tiebreak at 6-6."""
     if not clipped:
-        hold_a, hold_b = clip(hold_a), clip(hold_b)
-    first, other = (hold_a, 1 - hold_b) if a_first else (1 - hold_b, hold_a)
-    level = won_of(10, 5, serves_first_set, first, other)
-    x, y = first * other, (1 - first) * (1 - other)
-    return bound(
-        _race(6, 5, serves_first_set, first, other)
-        + level * (x + (1 - x - y) * tiebreak(p_a, p_b, a_first, clipped))
-    )
+        hold_a, hold_b, p_a, p_b = clip(hold_a), clip(hold_b), clip(p_a), clip(p_b)
+    return bound(_set_win(hold_a, hold_b, p_a, p_b, F.lit(0 if a_first else 1)))
 
 
 def match_win(set_prob: Column, best_of: Column) -> Column:
