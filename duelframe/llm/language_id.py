@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import fold_of
+from duelframe.llm.common import fold_of, join_sized
 from duelframe.session import ship, spool
 
 MAX_N = 4
@@ -128,10 +128,11 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     """Profiles from rows with a text and a language; other rows are ignored."""
     ship(__name__)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
-    share = sizes.select("lang", (F.lit(float(SAMPLE_DOCS)) / F.col("count")).alias("share"))
+    share = spool(
+        rows.groupBy("lang").agg((F.lit(float(SAMPLE_DOCS)) / F.count(F.lit(1))).alias("share")), "lang-shares"
+    )
     lot = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = spool(rows.join(share, "lang").where(lot < F.col("share")).select("lang", "text"), "lang-sample")
+    sample = spool(join_sized(rows, share, ["lang"]).where(lot < F.col("share")).select("lang", "text"), "lang-sample")
     is_letter = letter_mask()
 
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
