@@ -33,11 +33,6 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_stages[key])
 
 
-def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Folder of a stage that has been written."""
-    return _stages[spark.sparkContext.applicationId, sf_dir, name]
-
-
 def _div(value: Column, by: int) -> Column:
     """Integer division of non-negative numbers."""
     return ((value - value % by) / by).cast("double")
