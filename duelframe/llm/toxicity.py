@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelframe.llm.common import fold_of, once_per_worker
-from duelframe.session import ship
+from duelframe.session import ship, spool
 
 #: Words of a window, and the words by which the next one starts later.
 WINDOW, STRIDE = 32, 24
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 GRAMS, GRAM_BUCKETS = (3, 4, 5), 1 << 15
 #: The training sample: documents of each class at most, and their length in characters at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 VOCABULARY = 40_000
 ROUNDS, EPOCHS, BATCH = 3, 2, 256
 #: Words and n-grams of fewer documents of the sample have no embedding.
@@ -43,6 +43,10 @@ DOUBTFUL = -1.0
 SKETCH = 12
 KEPT_WORDS = 250_000
 SCORE_WINDOWS = 2048
+#: Words that are looked up at once in scoring.
+SCORE_WORDS = 48_000
+#: Words whose inputs are made at once in training.
+CHUNK_WORDS = 20_000
 CUT = 0.3
 EDGES = ".,;:!?\"'()[]{}<>*_-–—…«»„“”‚‘’¡¿#%&/\\|~`^+="
 
@@ -95,7 +99,7 @@ def windows(tokens: np.ndarray, pad: int = -1) -> np.ndarray:
     """All windows of a text's tokens, filled up with ``pad``."""
     starts = window_starts(len(tokens))
     at = starts[:, None] + np.arange(WINDOW)
-    padded = np.append(tokens, pad)
+    padded = np.append(tokens, tokens.dtype.type(pad))
     return padded[np.minimum(at, len(tokens))]
 
 
@@ -231,12 +235,14 @@ class Sample:
     def __init__(self, texts: list[str], labels: np.ndarray, train: np.ndarray):
         self.labels, self.train = labels, train
         number: dict[str, int] = {}
-        self.docs = []
+        self.docs: list[np.ndarray] = []
         for text in texts:
             forms = [plain(w) for w in words_of(text)]
-            self.docs.append(np.array([number.setdefault(f, len(number)) for f in forms], dtype=np.int64))
+            self.docs.append(np.array([number.setdefault(f, len(number)) for f in forms], dtype=np.int32))
         self.words = list(number)
-        self.buckets, self.count = gram_buckets(self.words) if self.words else (np.empty(0, np.int64), np.empty(0, np.int64))
+        found = [gram_buckets(self.words[k : k + CHUNK_WORDS]) for k in range(0, len(self.words), CHUNK_WORDS)]
+        self.buckets = np.concatenate([b.astype(np.int32) for b, _ in found] or [np.empty(0, np.int32)])
+        self.count = np.concatenate([c for _, c in found] or [np.empty(0, np.int64)])
         self.firsts = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
         self.windows = [windows(d) for d in self.docs]
 
@@ -245,11 +251,14 @@ class Sample:
         at = np.repeat(self.firsts[words] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         return self.buckets[at], count
 
-    def evidence(self, owners: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, kinds_of, size: int) -> tuple[np.ndarray, np.ndarray]:
         """How far the toxic documents with a kind (a word or an n-gram) are above chance, in standard deviations, and all with it."""
-        pairs = np.unique(owners * size + kinds)
-        toxic = np.bincount(pairs[self.labels[pairs // size] == 1] % size, minlength=size)
-        every = np.bincount(pairs % size, minlength=size)
+        toxic, every = np.zeros(size), np.zeros(size)
+        for k in self.train:
+            kinds = np.unique(kinds_of(self.docs[k]))
+            every[kinds] += 1
+            if self.labels[k] == 1:
+                toxic[kinds] += 1
         rate = (self.labels[self.train] == 1).mean()
         return (toxic - every * rate) / np.sqrt(every * rate * (1 - rate) + 1), every
 
@@ -284,17 +293,14 @@ def train(texts: list[str], labels: np.ndarray, rate: float | None = None, seed:
     for label in (0, 1):
         kept[np.flatnonzero(labels == label)[4::5]] = False
     data = Sample(texts, labels, np.flatnonzero(kept))
-    used = np.concatenate([data.docs[k] for k in data.train])
-    owner = np.repeat(data.train, [len(data.docs[k]) for k in data.train])
-    by_word, seen = data.evidence(owner, used, len(data.words))
+    by_word, seen = data.evidence(lambda doc: doc, len(data.words))
     order = np.argsort(-seen, kind="stable")[:VOCABULARY]
     known = order[seen[order] >= MIN_DOCS]
     net = Network.fresh({data.words[k]: n + 1 for n, k in enumerate(known)}, seed)
     row_of = np.zeros(len(data.words) + 1, dtype=np.int64)
     row_of[known] = np.arange(1, len(known) + 1)
     # a first guess of what speaks for the label fills one input each; n-grams of few documents have no input
-    grams, count = data.grams_of(used)
-    by_gram, gram_seen = data.evidence(np.repeat(owner, count), grams, GRAM_BUCKETS)
+    by_gram, gram_seen = data.evidence(lambda doc: data.grams_of(np.unique(doc))[0], GRAM_BUCKETS)
     usual = gram_seen >= MIN_DOCS
     net.weights["gram"][~usual] = 0.0
     net.weights["word"][0] = 0.0
@@ -310,10 +316,13 @@ def train(texts: list[str], labels: np.ndarray, rate: float | None = None, seed:
         return x, np.concatenate([out, np.zeros((2, 1, 3 * HIDDEN), np.float32)], axis=1).astype(np.float32), grams_
 
     def score_all() -> list[np.ndarray]:
-        words = np.arange(len(data.words))
-        _, projected, _ = project(words, row_of[:-1])
+        n = len(data.words)
+        projected = np.zeros((2, n + 1, 3 * HIDDEN), np.float32)
+        for k in range(0, n, CHUNK_WORDS):
+            part = np.arange(k, min(n, k + CHUNK_WORDS))
+            projected[:, part] = project(part, row_of[part])[1][:, :-1]
         flat = np.concatenate([w for w in data.windows if len(w)])
-        flat = np.where(flat < 0, len(words), flat)
+        flat[flat < 0] = n
         out = np.concatenate([net.run(projected, flat[k : k + SCORE_WINDOWS])[0] for k in range(0, len(flat), SCORE_WINDOWS)])
         return np.split(out, np.cumsum([len(w) for w in data.windows])[:-1])
 
@@ -382,89 +391,97 @@ def calibrate(logit: np.ndarray, label: np.ndarray, rate: float) -> tuple[float,
 
 
 class Scorer:
-    """Scores texts with a network; keeps what words contribute, up to ``KEPT_WORDS`` of them."""
+    """Scores texts with a network; keeps what the first ``KEPT_WORDS`` words met contribute, others' until they are scored."""
 
     def __init__(self, net: Network):
         self._net = net
-        self._clear()
-
-    def _clear(self) -> None:
         self._rows: dict[str, int] = {}
         self._table = np.zeros((2, 1, 3 * HIDDEN), np.float32)
+        self._next, self._full = 0, False
 
     def _numbers(self, words: list[str]) -> np.ndarray:
+        """Lines of the table for words; lines of words that are not kept hold until ``_next`` is set back."""
         found = list(map(self._rows.get, words))
         if None in found:
             new = list(dict.fromkeys([w for w, row in zip(words, found) if row is None]))
             forms = [plain(w) for w in new]
             ids = np.array([self._net.words.get(f, 0) for f in forms])
             x = self._net.inputs(forms, ids)
-            rows = np.matmul(x[None], self._net.weights["wx"]) + self._net.weights["b"]
-            base = len(self._rows)
-            self._rows.update(zip(new, range(base, base + len(new))))
-            if base + len(new) + 1 > self._table.shape[1]:
-                grown = np.zeros((2, max(2 * self._table.shape[1], base + len(new) + 1), 3 * HIDDEN), np.float32)
+            base, self._next = self._next, self._next + len(new)
+            if self._next + 1 > self._table.shape[1]:
+                grown = np.zeros((2, self._next + self._next // 4 + 4096, 3 * HIDDEN), np.float32)
                 grown[:, :base] = self._table[:, :base]
                 self._table = grown
-            self._table[:, base : base + len(new)] = rows
-            found = list(map(self._rows.__getitem__, words))
-        return np.array(found, dtype=np.int64)
+            self._table[:, base : self._next] = np.matmul(x[None], self._net.weights["wx"]) + self._net.weights["b"]
+            lines = dict(zip(new, range(base, self._next)))
+            self._full = self._full or len(self._rows) + len(new) > KEPT_WORDS
+            if not self._full:
+                self._rows.update(lines)
+            found = [lines[w] if row is None else row for w, row in zip(words, found)]
+        return np.array(found, dtype=np.int32)
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Largest window logit of each text; texts without words get a value far below any other."""
         out = np.full(len(texts), -20.0)
-        waiting: list[tuple[int, np.ndarray]] = []
+        stretch = SCORE_WORDS // STRIDE * STRIDE
+        waiting: list[tuple[int, list[str]]] = []
         held = 0
         for k, text in enumerate(texts):
             words = words_of(text)
-            for first in range(0, len(words), 200_000 * STRIDE):  # very long texts go through in stretches that overlap
-                part = words[first : first + 200_000 * STRIDE + WINDOW - STRIDE]
-                if len(self._rows) > KEPT_WORDS:
-                    self._flush(waiting, out)
+            for first in range(0, len(words) - (WINDOW - STRIDE if len(words) > WINDOW else 0), stretch):  # very long texts go through in stretches that overlap
+                waiting.append((k, words[first : first + stretch + WINDOW - STRIDE]))
+                held += len(waiting[-1][1])
+                if held >= SCORE_WORDS:
+                    self._score(waiting, out)
                     held = 0
-                    self._clear()
-                found = windows(self._numbers(part))
-                waiting.append((k, found))
-                held += len(found)
-            if held >= SCORE_WINDOWS:
-                self._flush(waiting, out)
-                held = 0
-        self._flush(waiting, out)
+        self._score(waiting, out)
         return out
 
-    def _flush(self, waiting: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+    def _score(self, waiting: list[tuple[int, list[str]]], out: np.ndarray) -> None:
         if not waiting:
             return
-        owner = np.repeat([k for k, _ in waiting], [len(w) for _, w in waiting])
-        index = np.concatenate([w for _, w in waiting])
-        index[index < 0] = self._table.shape[1] - 1  # the last line is never a word's
+        used, lines = np.unique(self._numbers([w for _, words in waiting for w in words]), return_inverse=True)
+        near = np.zeros((2, len(used) + 1, 3 * HIDDEN), np.float32)  # what this call needs, close together; the last line is padding
+        near[:, :-1] = self._table[:, used]
+        ends = np.cumsum([len(words) for _, words in waiting])
+        found = [windows(part) for part in np.split(lines, ends[:-1])]
+        owner = np.repeat([k for k, _ in waiting], [len(f) for f in found])
+        index = np.concatenate(found)
+        index[index < 0] = len(used)
         for first in range(0, len(index), SCORE_WINDOWS):
-            logit, _ = self._net.run(self._table, index[first : first + SCORE_WINDOWS])
+            logit, _ = self._net.run(near, index[first : first + SCORE_WINDOWS])
             np.maximum.at(out, owner[first : first + SCORE_WINDOWS], logit)
         waiting.clear()
+        if self._full:
+            self._next = len(self._rows)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return sigmoid(self._net.scale * self.logits(texts) + self._net.shift)
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Network | float:
-    """Network from a bounded sample of labelled rows; with one class only, the share of toxic ones (0 without rows)."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(
-        F.col("label").isin(0, 1) & (F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    )
-    lot = F.xxhash64("text", F.lit(41))
-    sample = [rows.where(F.col("label") == k).orderBy(lot, "text").limit(SAMPLE_DOCS).toPandas() for k in (1, 0)]
-    if not len(sample[0]) or not len(sample[1]):
-        return 1.0 if len(sample[0]) else 0.0
-    both = pd.concat(sample)
-    rate = rows.agg(F.avg("label")).first()[0]
-    return train([t if isinstance(t, str) else "" for t in both["text"]], both["label"].to_numpy(int), rate)
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) to learn from: crc32 of the id modulo 4 is not 2; several labels of an id count as their maximum."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    return known.where(fold_of("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents to learn from: crc32 of the id modulo 4 is not 2; several labels of an id count as their maximum."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(fold_of("doc_id", 4) != 2).join(marks, "doc_id").select("text", "toxic")
+def learn(docs: DataFrame, marks: DataFrame) -> Network | float:
+    """Network from a bounded sample of labelled documents; with one class only, the share of toxic ones (0 without labels).
+
+    ``marks`` has (doc_id, toxic). The sample is chosen by id, so that only its
+    own texts are moved.
+    """
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id")
+    labelled = spool(short.join(marks, "doc_id").distinct(), "toxicity-labels")
+    lot = F.xxhash64("doc_id", F.lit(41))
+    picked = [labelled.where(F.col("toxic") == k).orderBy(lot, "doc_id").limit(SAMPLE_DOCS) for k in (1, 0)]
+    ids = spool(picked[0].unionByName(picked[1]), "toxicity-sample")  # at most 2 * SAMPLE_DOCS rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.desc("toxic"), F.xxhash64("doc_id", F.lit(41)), "text").toPandas()
+    marked = sample["toxic"].to_numpy(int)
+    if not len(marked) or len(set(marked)) == 1:
+        return float(marked.max(initial=0))
+    rate = labelled.agg(F.avg("toxic")).first()[0]
+    return train(list(sample["text"]), marked, rate)
 
 
 def toxicity_of(text: str, model: Network | float) -> Column:
@@ -491,7 +508,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the label's share. Repeated rows return once each with equal scores. Empty
     tables give no rows; other columns are not read.
     """
-    model = learn(training_rows(docs, labels))
+    model = learn(docs, learning_labels(labels))
     scored = docs.select(
         "doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(True)).alias("held_out"), toxicity_of("text", model).alias("score")
     )
