@@ -23,7 +23,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the cut; the network learns from the labels of all but the held-out quarter."""
-    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, toxicity.learning_labels(table(spark, sf_dir, "labels")))
     score = fresh_name(docs.columns, "toxicity")
     return docs.withColumn(score, toxicity.toxicity_of("text", model)).where(F.col(score) < toxicity.CUT).drop(score)
 
