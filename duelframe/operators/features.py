@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.coerce import DROPPED_ROUNDS, MODEL_SURFACES, require, text_or, to_double
 from duelframe.operators.ordering import running_total
-from duelframe.operators.pairing import PLAIN_DELTAS
+from duelframe.operators.pairing import CONTEST_FIELDS, PLAIN_DELTAS
 
 TARGET = "label_player_a_win"
 NOT_INPUTS = {"delta_h2h_losses"}
 SURFACE_FLAGS = ("is_clay", "is_grass")
 CATEGORICAL = ("handedness_combo", "tourney_level")
-METADATA = (
-    "match_id", "tour", "tourney_date", "surface", "round", "best_of", "tourney_level",
-    "player_id_a", "player_name_a", "player_id_b", "player_name_b",
-)
+METADATA = ("match_id", *CONTEST_FIELDS, *(f"player_{f}_{side}" for side in "ab" for f in ("id", "name")))
 NUMERIC = tuple(
     [
         "delta_rank_adv", "delta_surface_advantage", "delta_age_30", "delta_age_int",

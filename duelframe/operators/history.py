@@ -12,6 +12,7 @@ PLAYER = ("tour", "player_id")
 ORDER = ("tourney_date", "tourney_id", "match_num", "match_id")
 DAY = "tourney_date"
 
+# fixed values: names of output columns and the columns of a side that they average
 LAST10 = {
     "win_rate_last10": "label_win",
     "aces_avg_last10": "aces",
@@ -185,3 +186,17 @@ def player_history(
         (F.col("surface_match_count") >= 5).cast("int").alias("has_surface_history"),
     )
     return df.drop("_surface", "_hand", "_round", "_previous_day", "_previous_surface_day")
+
+
+def _named(measures: list[Prior]) -> list[str]:
+    return [m.out for m in measures if not m.out.startswith("_")]
+
+
+#: What each player's earlier contests say, by the measures above.
+HISTORY = (
+    *_named([*streak_parts(), *roll_mean_10(), *win_share_365(), *previous_row(), *day_counts()]), "current_win_streak",
+    "days_since_last_match", *_named([m for m in surface_measures() if m.agg == "mean" or m.frame == "days"]),
+    "days_since_last_match_surface", *_named([*hand_measures(), *round_measures()]), "h2h_wins", "h2h_losses",
+)
+#: Shares that only count with enough history behind them, and the marks that say so.
+GUARDED = (*LAST30, *(flag for _, flag in LAST30.values()), "has_surface_history")

@@ -12,6 +12,7 @@ from duelframe.operators.ordering import global_index
 
 _PERSON = ("id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points")
 _BOX = ("ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced")
+# fixed values: column names of public contest files
 CONTEST_COLUMNS = (
     "tourney_id", "tourney_name", "surface", "draw_size", "tourney_level", "tourney_date", "match_num",
     *[f"winner_{f}" for f in _PERSON],
