@@ -8,7 +8,9 @@ from collections.abc import Callable, Hashable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.session import spool
+from duelframe.session import ship, spool
+
+ship(__name__)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,12 +64,26 @@ def join_sized(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(F.broadcast(right) if few else right, keys, how)
 
 
-def once_per_worker(key: Hashable, build: Callable[[], object]) -> object:
-    """A value that a Python worker builds once and keeps for its later tasks."""
-    kept = sys.modules["__main__"].__dict__.setdefault("_kept_by_worker", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+def once_per_worker(slot: str, key: Hashable, build: Callable[[], object]) -> object:
+    """A value that a Python worker builds once and keeps for its later tasks.
+
+    A worker keeps one such value: another one takes its place, so that the
+    stages of a long job do not add up in memory.
+    """
+    kept = _kept_by_worker()
+    if (slot, key) not in kept:
+        kept.clear()
+        kept[slot, key] = build()
+    return kept[slot, key]
+
+
+def forget_kept() -> None:
+    """Let go of what earlier tasks of this Python worker have kept."""
+    _kept_by_worker().clear()
+
+
+def _kept_by_worker() -> dict:
+    return sys.modules["__main__"].__dict__.setdefault("_kept_by_worker", {})
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import fold_of, join_sized
+from duelframe.llm.common import fold_of, forget_kept, join_sized
 from duelframe.session import ship, spool
 
 MAX_N = 4
@@ -136,6 +136,7 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     is_letter = letter_mask()
 
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         total = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
             for value in batch["text"]:

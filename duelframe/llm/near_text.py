@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import connected_components, join_sized
+from duelframe.llm.common import connected_components, forget_kept, join_sized
 from duelframe.session import ship, spool
 
 WORDS, PERCENT = 3, 85
@@ -204,6 +204,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             n, h1, h2, sig, bands = [], [], [], [], []
             for text in batch.column(1):

@@ -37,7 +37,7 @@ DOCUMENT_CUT, SENTENCE_CUT, HARD_CUT = 0, 4, 64
 WINDOW = 16
 #: A stretch is solved when this many tokens have gathered; so many last windows are left for the next one.
 STRETCH, OVERLAP = 400_000, 4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 class Tokens:
@@ -235,7 +235,7 @@ def pack_documents(
     ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = once_per_worker(("tokens", path, pattern), lambda: Tokens(path, pattern)), Packer(size)
+        tokens, packer = once_per_worker("tokens", (path, pattern), lambda: Tokens(path, pattern)), Packer(size)
         first = TaskContext.get().partitionId() << 33  # windows of a task are numbered below this
         names, rows = None, []
 

@@ -41,7 +41,7 @@ MIN_DOCS = 4
 #: Toxic documents whose best window stays below this logit after the first round count as mislabelled.
 DOUBTFUL = -1.0
 SKETCH = 12
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 SCORE_WINDOWS = 2048
 #: Words that are looked up at once in scoring.
 SCORE_WORDS = 48_000
@@ -489,12 +489,12 @@ def toxicity_of(text: str, model: Network | float) -> Column:
     ship(__name__)
     if not isinstance(model, Network):
         return F.lit(model)
-    key = ("toxicity", zlib.crc32(b"".join(model.weights[n].tobytes() for n in sorted(model.weights))))
+    key = zlib.crc32(b"".join(model.weights[n].tobytes() for n in sorted(model.weights)))
     shared = F.col(text)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        scorer = once_per_worker(key, lambda: Scorer(model))
+        scorer = once_per_worker("toxicity", key, lambda: Scorer(model))
         return pd.Series(scorer.scores([t if isinstance(t, str) else None for t in texts]))
 
     return score(shared)
