@@ -23,8 +23,6 @@ from duelframe.session import ship, spool
 
 #: Paths a host may win with, in order of votes; pages without any of them use their own best container.
 PATHS_PER_HOST = 8
-#: A smaller container is taken if it holds this share of the best score.
-SMALLER_IS_ENOUGH = 0.8
 #: Winners are broadcast up to this many hosts, and joined by a salted key above.
 BROADCAST_HOSTS = 20_000
 HOST_SALTS = 16
@@ -37,6 +35,8 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
+#: Containers that may win; a quotation is a part of its article.
+RATED = CONTAINERS - {"blockquote"}
 SKIPPED = frozenset(
     "head nav header footer aside form script style noscript template iframe button select option svg canvas dialog menu "
     "textarea title object video audio xmp noembed noframes".split()
@@ -51,10 +51,17 @@ SKIPPED_WORDS = frozenset(
     "overlay pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription toolbar widget widgets login alert".split()
 )
+#: Words that may stand beside one of these in a name; any other word (has-sidebar, comments-open, share-price) makes it another thing.
+NEUTRAL_WORDS = frozenset(
+    "site main page top bottom left right primary secondary global local mobile desktop area bar box button buttons block body col column "
+    "container content form group icon icons inner item items links list outer panel post posts row section slot text title unit wrap wrapper".split()
+)
+#: Readers often write more than the author: their names stay furniture however long the text is.
+READERS_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Elements whose start ends an open paragraph, list item or cell of the same kind.
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                 "th": ("td", "th"), "option": ("option",)}
-BONUS = {"article": 1.5, "main": 1.3, "body": 0.8}
+BONUS = {"article": 1.5, "main": 1.5, "body": 0.8}
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -68,9 +75,20 @@ NAME_PART = re.compile(r"[a-zA-Z]+")
 DIGITS = re.compile(r"\d+")
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element (tag and classes, digits folded) and whether it is page furniture."""
-    skipped, name = tag in SKIPPED, tag
+def _furniture_words(marks: str) -> set[str]:
+    """Furniture that class and id names stand for; a name counts as a whole, with neutral words beside the furniture."""
+    found: set[str] = set()
+    for name in marks.split():
+        words = [w.lower() for w in NAME_PART.findall(name)]
+        named = SKIPPED_WORDS.intersection(words)
+        if named and all(w in named or w in NEUTRAL_WORDS for w in words):
+            found |= named
+    return found
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
+    """Generalised name of an element (tag and classes, digits folded), whether tag or role make it page furniture, and its names that do."""
+    skipped, name, named = tag in SKIPPED, tag, set()
     if "=" in attributes:
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
@@ -78,13 +96,13 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
         if "role" in found:
             skipped = skipped or found["role"].strip().lower() in SKIPPED_ROLES
         marks = f"{found.get('class', '')} {found.get('id', '')}"
-        if not skipped and tag not in ("body", "html", "article", "main"):
-            skipped = any(w.lower() in SKIPPED_WORDS for w in NAME_PART.findall(marks))
-        elif not skipped and tag == "article":  # a reader's comment may be an article of its own
-            skipped = any(w.lower() in ("comment", "comments", "ad", "ads") for w in NAME_PART.findall(marks))
+        if not skipped and tag not in ("body", "html", "main"):
+            named = _furniture_words(marks)
+            if tag == "article":  # a reader's comment may be an article of its own
+                named &= {"comment", "comments", "ad", "ads"}
         classes = sorted({DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
         name = ".".join([tag, *classes])
-    return name, skipped
+    return name, skipped, frozenset(named)
 
 
 class Page:
@@ -93,25 +111,78 @@ class Page:
     Furniture, scripts, styles and comments leave no piece; the edge of a block
     or a line break leaves a blank one. A container is (path, first piece, end).
     The first container is the page itself, with an empty path.
+
+    What only its name calls furniture is none if it holds a main element, the
+    longest article, or, unless its name is that of readers' comments or an
+    article or main element stands outside, most of the plain text.
     """
 
     def __init__(self, page: str):
+        self._read_page(page, frozenset())
+        wrong = self._misnamed()
+        if wrong:
+            self._read_page(page, wrong)
+
+    def _read_page(self, page: str, shown: frozenset[int]) -> None:
         self.pieces: list[str] = []
         self.linked: list[bool] = []
         self.containers: list[tuple[str, int, int]] = []
         self._stack: list[tuple[str, str, bool, int]] = []  # tag, path, furniture, number of its container or -1
         self._hidden = self._links = 0
+        self._shown = shown
+        self._hard = self._plain = 0  # furniture by tag or role that is open; plain characters outside of such
+        self._names: list[tuple[frozenset[str], int, int]] = []  # furniture by name: its words, plain characters before and up to its end
+        self._articles: list[tuple[str, int, int]] = []  # article and main elements: tag, plain characters before and up to the end
+        self._marks: list[tuple[bool, int, int]] = []  # of what is open: hard, number in names or -1, number in articles or -1
         self._open("", "", False, True)
         self._read(page)
         while self._stack:
             self._pop()
 
+    def _misnamed(self) -> frozenset[int]:
+        """Numbers of the elements that are furniture by name only and hold what cannot be furniture."""
+        if not self._names:
+            return frozenset()
+        full = [a for a in self._articles if a[2] > a[1]]
+        kept = [a for a in full if a[0] == "main"]
+        kept += sorted((a for a in full if a[0] == "article"), key=lambda a: a[1] - a[2])[:1]
+        wrong = set()
+        for k, (words, first, end) in enumerate(self._names):
+            held = any(first <= a[1] and a[2] <= end for a in kept)
+            if held or not (full or words & READERS_WORDS) and 2 * (end - first) > self._plain:
+                wrong.add(k)
+        return frozenset(wrong)
+
+    def _mark(self, tag: str, hard: bool, named: frozenset[str]) -> bool:
+        """Note what opens; whether it is furniture."""
+        name = article = -1
+        if named:
+            name = len(self._names)
+            self._names.append((named, self._plain, self._plain))
+        elif tag in ("article", "main") and not hard and not self._hard:
+            article = len(self._articles)
+            self._articles.append((tag, self._plain, self._plain))
+        self._marks.append((hard, name, article))
+        self._hard += hard
+        return hard or name >= 0 and name not in self._shown
+
+    def _unmark(self) -> None:
+        hard, name, article = self._marks.pop()
+        self._hard -= hard
+        if name >= 0:
+            self._names[name] = (*self._names[name][:2], self._plain)
+        if article >= 0:
+            self._articles[article] = (*self._articles[article][:2], self._plain)
+
     def _add(self, text: str) -> None:
+        if not self._hard and not self._links:
+            self._plain += len(text.strip())
         if not self._hidden:
             self.pieces.append(text)
             self.linked.append(self._links > 0)
 
-    def _open(self, tag: str, path: str, furniture: bool, container: bool) -> None:
+    def _open(self, tag: str, path: str, hard: bool, container: bool, named: frozenset[str] = frozenset()) -> None:
+        furniture = self._mark(tag, hard, named)
         number = -1
         if container and not furniture and not self._hidden:
             number = len(self.containers)
@@ -122,6 +193,7 @@ class Page:
 
     def _pop(self) -> str:
         tag, path, furniture, number = self._stack.pop()
+        self._unmark()
         self._hidden -= furniture
         self._links -= tag == "a"
         if number >= 0:
@@ -164,12 +236,12 @@ class Page:
                     self._close(SELF_CLOSING.get(tag, ("p",)), CONTAINERS if tag != "td" else frozenset(("table",)))
             if tag in VOID:
                 continue
-            name, furniture = _describe(tag, attributes)
+            name, furniture, named = _describe(tag, attributes)
             above = self._stack[-1][1]
             if block:
-                self._open(tag, f"{above}>{name}" if above else name, furniture, tag in CONTAINERS)
+                self._open(tag, f"{above}>{name}" if above else name, furniture, tag in RATED, named)
             else:
-                self._open(tag, above, furniture, False)
+                self._open(tag, above, furniture, False, named)
             if tag in RAW:  # no markup inside: go on at its end tag
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 stop = end.start() if end else size
@@ -177,19 +249,49 @@ class Page:
                 at = stop
 
     def best(self) -> int:
-        """Number of the container with the main text: the smallest with nearly the best score."""
+        """Number of the container with the main text: the outermost with the best score, or what holds it and more plain text.
+
+        An article or main element stands for itself; another container gives way
+        to the one around it, short of the body, if it leaves out more than links.
+        """
         good, bad = [0], [0]
         for text, linked in zip(self.pieces, self.linked):
             n = len(text.strip())
             good.append(good[-1] + (0 if linked else n))
             bad.append(bad[-1] + (n if linked else 0))
-        rated = []
+        rated, tags = [], []
         for k, (path, first, end) in enumerate(self.containers):
             plain, linked = good[end] - good[first], bad[end] - bad[first]
-            tag = path.rpartition(">")[2].partition(".")[0]
-            rated.append((plain * (plain / (plain + linked)) if plain else 0.0) * BONUS.get(tag, 1.0) if k else plain * 0.7)
+            tags.append(path.rpartition(">")[2].partition(".")[0])
+            rated.append((plain * (plain / (plain + linked)) if plain else 0.0) * BONUS.get(tags[k], 1.0) if k else plain * 0.7)
         most = max(rated)
-        return max((k for k, r in enumerate(rated) if r >= SMALLER_IS_ENOUGH * most), key=lambda k: (-self._length(k), k))
+        best = max((k for k, r in enumerate(rated) if r >= most), key=lambda k: (self._length(k), -k))
+        whole = ("article", "main")
+        for k in range(best - 1, 0, -1):  # what is around a container opened before it
+            inside = self.containers[k][1] <= self.containers[best][1] and self.containers[best][2] <= self.containers[k][2]
+            if inside and tags[k] != "body" and (tags[best] not in whole or tags[k] in whole) and self._leaves_text(k, best):
+                best = k
+        return best
+
+    def _leaves_text(self, around: int, taken: int) -> bool:
+        """Whether a line that is more text than links lies in one container and outside of all with the other's path."""
+        _, at, done = self.containers[around]
+        inner = [(first, end) for p, first, end in self.containers[around + 1 :] if p == self.containers[taken][0] and end <= done]
+        for first, end in [*inner, (done, done)]:
+            plain = linked = 0
+            for k in range(at, first):
+                if self.pieces[k] == "\n":
+                    if plain > linked:
+                        return True
+                    plain = linked = 0
+                elif self.linked[k]:
+                    linked += len(self.pieces[k].strip())
+                else:
+                    plain += len(self.pieces[k].strip())
+            if plain > linked:
+                return True
+            at = max(at, end)
+        return False
 
     def _length(self, k: int) -> int:
         _, first, end = self.containers[k]
