@@ -17,6 +17,7 @@ window has padding beyond the optimum. Nothing is shuffled or collected.
 from __future__ import annotations
 
 import base64
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -40,10 +41,20 @@ STRETCH, OVERLAP = 400_000, 4
 CACHED_WORDS = 200_000
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a vocabulary's JSON file adds to its pieces; texts are split at them before anything else."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"{path}: {token['content']} takes in what is around it, which is not supported")
+    return {token["content"]: token["id"] for token in found}
+
+
 class Tokens:
-    """Token ids of texts and the tokens at which sentences end; the vocabulary file is a parameter."""
+    """Token ids of texts and the tokens at which sentences end; the vocabulary file is a parameter, and so are the tokens added to it."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import re
 
         import tiktoken
@@ -54,7 +65,10 @@ class Tokens:
         self._encode = self._encoding.encode_ordinary
         self._words: dict[str, bytes] = {}  # ids of a word after a space; bounded
         self._gap = re.compile(r"\s\s")
-        size = max(ranks.values()) + 1
+        self._added = {token: np.array([rank], dtype="<u2") for token, rank in (added or {}).items()}
+        # the longest first, as the leftmost longest one counts
+        self._split = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})") if self._added else None
+        size = max([*ranks.values(), *(added or {}).values()]) + 1
         self._ends, self._begins, self._spaced = (np.zeros(size, bool) for _ in range(3))
         for token, rank in ranks.items():
             self._ends[rank] = token[-1:] in (b".", b"!", b"?", b"\n")
@@ -65,7 +79,14 @@ class Tokens:
             self._lines[rank] = token.endswith(b"\n")
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a text, without the end id.
+        """Ids of a text, without the end id: those of added tokens, and of the parts between them."""
+        if self._split is None or not text or not self._split.search(text):
+            return self._plain(text)
+        parts = self._split.split(text)
+        return np.concatenate([self._added[part] if k % 2 else self._plain(part) for k, part in enumerate(parts)])
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens.
 
         Byte-level pieces never reach across a single space between two words,
         so a text without double white space is the ids of its words in a row.
@@ -82,7 +103,7 @@ class Tokens:
                 return self._whole(text)
             return np.frombuffer(b"".join(found), dtype="<u2")
         except UnicodeEncodeError:  # a lone surrogate cannot be encoded: as the replacement sign
-            return self.ids(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
+            return self._plain(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._encode(text), dtype="<u2")
@@ -216,12 +237,13 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE
+    docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of packed windows: (id, start, length, ids, doc_tokens, sequence_id, offset, sequence_tokens).
 
-    ``ids`` holds the piece's token ids as little-endian unsigned 32-bit numbers.
-    A null or empty text is the end id alone. Every id of every row lies in
+    ``ids`` holds the piece's token ids as little-endian unsigned 32-bit numbers;
+    ``added`` names the tokens that texts are split at, with their ids. A null or empty text is the end id alone. Every id of every row lies in
     exactly one piece, repeated rows included; documents keep their order within
     a task, ties of cost take the longest window. An empty table gives no rows.
     Very long texts are cut over many windows. Other columns are not read.
@@ -234,8 +256,10 @@ def pack_documents(
         T.StructField("offset", T.LongType()), T.StructField("sequence_tokens", T.LongType()),
     ])
 
+    key = (path, pattern, tuple(sorted((added or {}).items())))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = once_per_worker("tokens", (path, pattern), lambda: Tokens(path, pattern)), Packer(size)
+        tokens, packer = once_per_worker("tokens", key, lambda: Tokens(path, pattern, added)), Packer(size)
         first = TaskContext.get().partitionId() << 33  # windows of a task are numbered below this
         names, rows = None, []
 
