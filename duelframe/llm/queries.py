@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, licenses, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
+from duelframe.llm import html_text, language_id, licenses, merkle, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -96,3 +96,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", oracle=oracles.manifest())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
