@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import html_text, language_id, licenses, merkle, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
+from duelframe.llm import alignment, html_text, language_id, licenses, merkle, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -102,3 +102,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def align(docs: DataFrame, **options) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(docs, files[0], public_tokenizers.PATTERN, files[1], **options)
+
+
+@query("op13_align_tokenizers")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
