@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+from duelframe.llm import chat_format
 from duelframe.llm import url_filter as uf
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -175,3 +177,28 @@ above AS (SELECT p.doc_id, 'top' AS tree, 0 AS lvl, c.idx, p.proof, p.acc FROM p
 SELECT a.doc_id, l.leaf, s.node AS subroot, g.node AS root, sha256(a.proof) AS proof_sha256, a.acc AS folded_root, a.acc = g.node AS verified
 FROM above a JOIN goal g ON g.lvl = a.lvl JOIN leaves l ON l.doc_id = a.doc_id JOIN subroots s ON s.tree = l.tree
 """
+
+
+def formatted_chat(control_text: str) -> str:
+    """Digests of the given turns, and the length of their formatted form: marks, and a sign for every escape."""
+    marks = chat_format.MARKS
+    controls = "|".join(re.escape(c) for c in chat_format.CONTROLS)
+    own = lambda *names: sum(len(marks[n]) for n in names)
+
+    def escaped(c: str) -> str:
+        return f"(length(replace({c}, '\\', '\\\\')) + len(regexp_extract_all({c}, '{controls}')))"
+
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '{control_text}'), (-1, 1, 'assistant', '{control_text}')) rows(conv_id, turn, role, text)),
+sized AS (SELECT *, CASE role WHEN 'user' THEN {own("user", "user_end") + 2} + {escaped("text")} WHEN 'assistant' THEN {own("eos") + 2} + {escaped("text")}
+    WHEN 'system' THEN {own("system", "system_end") + 2} + {escaped("text")}
+    ELSE {own("other", "other_end", "eos")} + {escaped("text")} + {escaped("role")} END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST({own("bos")} + sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import alignment, html_text, language_id, licenses, merkle, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
+from duelframe.llm import alignment, chat_format, html_text, language_id, licenses, merkle, mixing, near_text, near_vectors, oracles, packing, toxicity, url_filter, vector_search
 from duelframe.llm.common import query, table
 
 
@@ -114,3 +114,14 @@ def align(docs: DataFrame, **options) -> DataFrame:
 @query("op13_align_tokenizers")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings beside those of the table.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op11_format_chat", oracle=oracles.formatted_chat(CONTROL_TEXT))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)
+    return chat_format.read_back(*chat_format.format_conversations(rows)).withColumnRenamed("id", "conv_id")
