@@ -8,16 +8,19 @@ from dataclasses import asdict, dataclass, replace
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.config import LogisticConfig, SplitConfig, TreeConfig
+from duelframe.operators.boosting import BoostedModel, Run, boost, training_set
+from duelframe.operators.boosting import probability as forest_chance
 from duelframe.operators.experiments import cv_summary, noise_floor
 from duelframe.operators.features import METADATA, TARGET, Preprocessor, fit_preprocessor, training_rows
+from duelframe.operators.isotonic import apply_curve, isotonic_curve
 from duelframe.operators.metrics import binary_metrics, log_loss
+from duelframe.operators.newton import Fit, LogisticModel, solve
+from duelframe.operators.newton import probability as logistic_chance
 from duelframe.operators.splits import (
     HALF_LIFE_DAYS, calibration_split, fold_rows, recency_weight, newest, time_series_folds, with_split,
 )
@@ -29,27 +32,29 @@ PROB = "prob_player_a_win"
 
 @dataclass(frozen=True)
 class Fitted:
-    model: PipelineModel
+    model: LogisticModel | BoostedModel
     preprocessor: Preprocessor
     config: LogisticConfig | TreeConfig
 
 
-def weighted(train: DataFrame, half_life_days: int, balanced: bool = False) -> DataFrame:
-    """Recency weight anchored to the newest training row, times the class balance if asked."""
-    weight = recency_weight("tourney_date", newest(train, "tourney_date"), half_life_days)
-    if balanced:
-        n, ones = train.agg(F.count(F.lit(1)), F.sum(TARGET)).first()
-        weight = weight * F.when(F.col(TARGET) == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
-    return train.withColumn(WEIGHT, weight)
+def weighted(train: DataFrame, half_life_days: int) -> DataFrame:
+    """Recency weight anchored to the newest training row."""
+    return train.withColumn(WEIGHT, recency_weight("tourney_date", newest(train, "tourney_date"), half_life_days))
 
 
-def _logistic(rows: DataFrame, config: LogisticConfig, features: str = "features", weight: str = WEIGHT) -> LogisticRegression:
-    """L2 strength 1/C on the summed loss is 1/(C * total weight) on Spark's mean loss."""
-    total = rows.agg(F.sum(weight)).first()[0]
-    return LogisticRegression(
-        featuresCol=features, labelCol=TARGET, weightCol=weight, regParam=1.0 / (config.C * total),
-        elasticNetParam=0.0, standardization=False, maxIter=config.max_iter, tol=1e-8,
-    )
+def class_weights(train: DataFrame) -> tuple[float, float]:
+    """Factors that give both outcomes the same count."""
+    n, ones = train.agg(F.count(F.lit(1)), F.sum(TARGET)).first()
+    return (n / (2.0 * (n - ones)) if ones < n else 1.0, n / (2.0 * ones) if ones else 1.0)
+
+
+def prepared(prep: Preprocessor, rows: DataFrame, checked: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Fitted stages, and rows (x, y, weight, checked) as the learners take them; rows of ``checked`` do not train."""
+    model = Pipeline(stages=prep.stages()).fit(rows)
+    out = training_set(model.transform(rows), TARGET, WEIGHT, F.lit(False))
+    if checked is not None:
+        out = out.unionByName(training_set(model.transform(checked.withColumn(WEIGHT, F.lit(0.0))), TARGET, WEIGHT, F.lit(True)))
+    return model, out
 
 
 def fit_logistic(
@@ -58,34 +63,28 @@ def fit_logistic(
 ) -> Fitted:
     config = config or LogisticConfig()
     prep = preprocessor or fit_preprocessor(train, surface_specific)
-    rows = weighted(train, half_life_days, config.balanced)
-    return Fitted(Pipeline(stages=[*prep.stages(), _logistic(rows, config)]).fit(rows), prep, config)
+    stages, rows = prepared(prep, weighted(train, half_life_days))
+    fit = Fit(0, config.C, class_weights(train) if config.balanced else (1.0, 1.0))
+    return Fitted(LogisticModel(stages, solve([rows], [fit])[0], PROB), prep, config)
 
 
 def fit_trees(
     train: DataFrame, stop: DataFrame | None = None, config: TreeConfig | None = None, surface_specific: bool = False,
     half_life_days: int = HALF_LIFE_DAYS, preprocessor: Preprocessor | None = None,
 ) -> Fitted:
-    """Boosted trees; rows of ``stop`` only decide when to stop adding trees."""
+    """Boosted trees; rows of ``stop`` only decide when to stop adding trees, and how many are kept."""
     config = config or TreeConfig()
+    if stop is None:
+        config = replace(config, patience=None)
     prep = preprocessor or fit_preprocessor(train, surface_specific, scaled=False)
-    rows = weighted(train, half_life_days)
-    trees = GBTClassifier(
-        labelCol=TARGET, weightCol=WEIGHT, maxIter=config.n_estimators, stepSize=config.learning_rate,
-        maxDepth=config.max_depth, minInstancesPerNode=config.min_child_weight, subsamplingRate=config.subsample,
-        featureSubsetStrategy=config.feature_subset, seed=config.seed,
-    )
-    if stop is not None:
-        rows = rows.withColumn("stopping", F.lit(False)).unionByName(
-            stop.withColumn(WEIGHT, F.lit(1.0)).withColumn("stopping", F.lit(True))
-        )
-        trees = trees.setValidationIndicatorCol("stopping")
-    return Fitted(Pipeline(stages=[*prep.stages(), trees]).fit(rows), prep, config)
+    stages, rows = prepared(prep, weighted(train, half_life_days), stop)
+    forest = boost([rows], [Run(0, config)])[0]
+    return Fitted(BoostedModel(stages, forest.best() if config.patience else forest, PROB), prep, config)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: LogisticModel | BoostedModel, rows: DataFrame) -> DataFrame:
     """Metadata, outcome, probability and 0.5-threshold label."""
-    scored = model.transform(rows).withColumn(PROB, vector_to_array("probability")[1])
+    scored = model.transform(rows)
     keep = [c for c in METADATA if c in rows.columns]
     extra = [c for c in ("split", "part", "fold", "request_id") if c in rows.columns]
     truth = [F.col(TARGET).cast("int").alias("y_true")] if TARGET in rows.columns else []
@@ -98,70 +97,127 @@ def logistic_grid(
     return [LogisticConfig(C=c, balanced=b) for c, b in product(C, balanced)]
 
 
-def tree_grid(profile: str = "base") -> list[TreeConfig]:
-    """Trees, learning rate, depth and leaf size. Penalties on leaves have no counterpart here."""
-    rates, leaves = {"base": ((0.03, 0.05), (1, 5)), "richer": ((0.02, 0.03), (1, 3))}[profile]
+def tree_grid(profile: str = "base", rounds: Sequence[int] = (300, 600, 1000, 1500)) -> list[TreeConfig]:
+    """Trees, learning rate, depth, leaf size and penalties. Candidates that differ in ``rounds`` alone share one run."""
+    rates, sizes, lassos, gains = {
+        "base": ((0.03, 0.05), (1.0, 5.0), (0.0,), (0.0,)), "richer": ((0.02, 0.03), (1.0, 3.0), (0.0, 0.1), (0.0, 0.1)),
+    }[profile]
     return [
-        TreeConfig(n_estimators=n, learning_rate=r, max_depth=d, min_child_weight=m)
-        for n, r, d, m in product((300, 600, 1000, 1500), rates, (3, 4), leaves)
+        TreeConfig(rounds=n, rate=r, depth=d, leaf_hessian=m, ridge=p, lasso=a, least_gain=g, patience=None)
+        for n, r, d, m, p, a, g in product(rounds, rates, (3, 4), sizes, (1.0, 5.0), lassos, gains)
     ]
 
 
+def _fold_sets(train: DataFrame, n_splits: int, surface_specific: bool, half_life_days: int, scaled: bool) -> list[tuple]:
+    """Per fold its stages, training rows, class weights and judged rows; preprocessing and weights are fitted per fold."""
+    folds = spool(time_series_folds(train, n_splits=n_splits), "folds")
+    out = []
+    for fold in range(n_splits):
+        fitting, judging = fold_rows(folds, fold)
+        fitting = spool(fitting, "fold-train")
+        prep = fit_preprocessor(fitting, surface_specific, scaled)
+        stages, rows = prepared(prep, weighted(fitting, half_life_days))
+        out.append((stages, rows, class_weights(fitting), judging))
+    return out
+
+
+def _fold_scores(folds: Sequence[tuple], chances: Callable[[int], list[Column]]) -> DataFrame:
+    """(candidate, fold, y_true, probability) of the judged rows, all candidates of a fold in one pass."""
+    scores = None
+    for fold, (stages, _, _, judging) in enumerate(folds):
+        each = F.posexplode(F.array(*chances(fold))).alias("candidate", PROB)
+        rows = stages.transform(judging).withColumn("_x", vector_to_array("features"))
+        one = rows.select(each, F.lit(fold).alias("fold"), F.col(TARGET).cast("int").alias("y_true"))
+        scores = one if scores is None else scores.unionByName(one)
+    return scores
+
+
 def tune(
     train: DataFrame, grid: Sequence, n_splits: int = 5, surface_specific: bool = False,
     half_life_days: int = HALF_LIFE_DAYS,
 ) -> tuple[Fitted, DataFrame]:
     """Grid search over time-series folds by mean log loss, then a refit on all training rows.
 
-    Preprocessing and weights are fitted per fold. The loop runs over
-    parameters; the rows of each fold are written once and reused by every fit.
+    All folds and candidates are fitted side by side: a step of the search is one
+    pass over the rows of all folds, however many candidates there are.
     """
-    scaled = isinstance(grid[0], LogisticConfig)
-    fit = fit_logistic if scaled else fit_trees
-    folds = spool(time_series_folds(train, n_splits=n_splits), "folds")
-    scores = None
-    for fold in range(n_splits):
-        fitting, judging = fold_rows(folds, fold)
-        fitting, judging = spool(fitting, "fold-train"), spool(judging, "fold-check")
-        prep = fit_preprocessor(fitting, surface_specific, scaled)
+    logistic = isinstance(grid[0], LogisticConfig)
+    folds = _fold_sets(train, n_splits, surface_specific, half_life_days, logistic)
+    sets = [rows for _, rows, _, _ in folds]
+    pairs = list(product(range(n_splits), range(len(grid))))
+    if logistic:
+        fits = [Fit(f, grid[i].C, folds[f][2] if grid[i].balanced else (1.0, 1.0)) for f, i in pairs]
+        found = dict(zip(pairs, solve(sets, fits)))
+        chances = lambda f: [logistic_chance(found[f, i].coefficients, found[f, i].intercept, F.col("_x")) for i in range(len(grid))]
+    else:
+        # a forest of more rounds begins with the trees of one of fewer rounds
+        longest: dict = {}
         for i, config in enumerate(grid):
-            got = fit(fitting, config=config, surface_specific=surface_specific,
-                      half_life_days=half_life_days, preprocessor=prep)
-            judged = predict(got.model, judging).select(
-                F.lit(i).alias("candidate"), F.lit(fold).alias("fold"), "y_true", PROB
-            )
-            scores = judged if scores is None else scores.unionByName(judged)
+            shape = replace(config, rounds=0, patience=None)
+            longest[shape] = max(longest.get(shape, 0), config.rounds)
+        runs = [(f, shape) for f in range(n_splits) for shape in longest]
+        forests = dict(zip(runs, boost(sets, [Run(f, replace(s, rounds=longest[s])) for f, s in runs])))
+        grown = lambda f, c: forests[f, replace(c, rounds=0, patience=None)].first(c.rounds)
+        chances = lambda f: [forest_chance(grown(f, c), F.col("_x")) for c in grid]
+    scores = _fold_scores(folds, chances)
     metrics = binary_metrics(spool(scores, "fold-scores"), ["candidate", "fold"], "y_true", PROB).withColumn(
         "neg_log_loss", -F.col("log_loss")
     )
     names = ["neg_log_loss", "accuracy", "roc_auc"]
     params = train.sparkSession.createDataFrame([(i, json.dumps(asdict(c))) for i, c in enumerate(grid)], "candidate int, params string")
     results = spool(cv_summary(metrics, ["candidate"], names, "neg_log_loss").join(F.broadcast(params), "candidate"), "cv")
-    best = grid[results.orderBy("rank_test_neg_log_loss").first()["candidate"]]
+    best = grid[results.orderBy("rank_test_neg_log_loss", "candidate").first()["candidate"]]
+    fit = fit_logistic if logistic else fit_trees
     return fit(train, config=best, surface_specific=surface_specific, half_life_days=half_life_days), results
 
 
-def fit_isotonic(scored: DataFrame):
+@dataclass(frozen=True)
+class IsotonicCalibrator:
     """Monotone map from probability to outcome; constant beyond the seen range."""
-    rows = scored.select(F.col("y_true").cast("double").alias("label"), array_to_vector(F.array(PROB)).alias("p"))
-    return IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated", isotonic=True).fit(rows)
+
+    curve: DataFrame
+
+    def apply(self, scored: DataFrame) -> DataFrame:
+        return apply_curve(scored, self.curve, PROB, PROB).select(*scored.columns)
+
+    def save(self, path: str) -> None:
+        self.curve.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, path: str) -> IsotonicCalibrator:
+        return cls(SparkSession.active().read.parquet(path))
 
 
-def fit_sigmoid(scored: DataFrame, C: float = 1.0):
+@dataclass(frozen=True)
+class SigmoidCalibrator:
     """Logistic regression on the raw probability."""
-    rows = scored.select(
-        F.col("y_true").cast("double").alias(TARGET), array_to_vector(F.array(PROB)).alias("p"), F.lit(1.0).alias(WEIGHT)
-    )
-    return _logistic(rows, LogisticConfig(C=C), "p").fit(rows)
 
+    slope: float
+    intercept: float
 
-def calibrate(calibrator, scored: DataFrame) -> DataFrame:
-    rows = scored.withColumn("p", array_to_vector(F.array(PROB)))
-    if hasattr(calibrator, "coefficients"):
-        out = calibrator.transform(rows).withColumn("_c", vector_to_array("probability")[1])
-    else:
-        out = calibrator.transform(rows).withColumn("_c", F.least(F.greatest("calibrated", F.lit(0.0)), F.lit(1.0)))
-    return out.withColumn(PROB, F.col("_c")).select(*scored.columns)
+    def apply(self, scored: DataFrame) -> DataFrame:
+        return scored.withColumn(PROB, logistic_chance([self.slope], self.intercept, F.array(F.col(PROB))))
+
+    def save(self, path: str) -> None:
+        SparkSession.active().createDataFrame([(self.slope, self.intercept)], "slope double, intercept double").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, path: str) -> SigmoidCalibrator:
+        return cls(*SparkSession.active().read.parquet(path).select("slope", "intercept").first())
+
+
+def fit_isotonic(scored: DataFrame) -> IsotonicCalibrator:
+    return IsotonicCalibrator(isotonic_curve(scored, PROB, "y_true"))
+
+
+def fit_sigmoid(scored: DataFrame, C: float = 1.0) -> SigmoidCalibrator:
+    rows = scored.select(F.array(PROB).alias("x"), F.col("y_true").cast("double").alias("y"), F.lit(1.0).alias("weight"))
+    found = solve([rows], [Fit(0, C)])[0]
+    return SigmoidCalibrator(float(found.coefficients[0]), found.intercept)
+
+
+def calibrate(calibrator: IsotonicCalibrator | SigmoidCalibrator, scored: DataFrame) -> DataFrame:
+    return calibrator.apply(scored)
 
 
 def choose_calibration(versions: dict[str, DataFrame]) -> str:
@@ -181,10 +237,10 @@ def feature_names(fitted: Fitted, scored: DataFrame) -> list[str]:
 
 
 def ranked_features(fitted: Fitted, rows: DataFrame, top: int | None = None) -> DataFrame:
-    """Coefficients by absolute value, or importances; one row per input."""
-    last = fitted.model.stages[-1]
-    names = feature_names(fitted, fitted.model.transform(rows.limit(0)))
-    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
+    """Coefficients by absolute value, or mean gains of the splits; one row per input."""
+    model = fitted.model
+    names = feature_names(fitted, model.prepare.transform(rows.limit(0)))
+    values = model.solution.coefficients if isinstance(model, LogisticModel) else model.forest.importance(len(names))
     data = [(n, float(values[i])) for i, n in enumerate(names)]
     out = rows.sparkSession.createDataFrame(data, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
     return out.limit(top) if top else out
@@ -250,27 +306,24 @@ def with_seed(config: TreeConfig, seed: int) -> TreeConfig:
 
 
 def save_run(run: dict, path: str) -> None:
-    """Pipeline, calibrator and parameters; everything is read back by :func:`load_run`."""
+    """Model, calibrator and parameters; everything is read back by :func:`load_run`."""
     fitted: Fitted = run["fitted"]
-    spark = SparkSession.active()
-    fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.model.save(f"{path}/model")
     if run.get("calibrator") is not None:
-        run["calibrator"].write().overwrite().save(f"{path}/calibrator")
-    params = {"config": asdict(fitted.config), "calibration": run.get("calibration"), "columns": list(fitted.preprocessor.columns)}
-    spark.createDataFrame([(json.dumps(params),)], "params string").write.mode("overwrite").json(f"{path}/params")
+        run["calibrator"].save(f"{path}/calibrator")
+    params = {
+        "config": asdict(fitted.config), "calibration": run.get("calibration"), "columns": list(fitted.preprocessor.columns),
+        "kind": "logit" if isinstance(fitted.model, LogisticModel) else "trees",
+    }
+    SparkSession.active().createDataFrame([(json.dumps(params),)], "params string").write.mode("overwrite").json(f"{path}/params")
 
 
 def load_run(path: str) -> dict:
-    from pyspark.ml.classification import LogisticRegressionModel
-    from pyspark.ml.regression import IsotonicRegressionModel
-
     params = json.loads(SparkSession.active().read.json(f"{path}/params").first()["params"])
-    kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": LogisticRegressionModel}
+    kinds = {"isotonic": IsotonicCalibrator, "sigmoid": SigmoidCalibrator}
     kind = kinds.get(params["calibration"])
-    return {
-        "model": PipelineModel.load(f"{path}/model"), "params": params,
-        "calibrator": kind.load(f"{path}/calibrator") if kind else None,
-    }
+    model = LogisticModel if params["kind"] == "logit" else BoostedModel
+    return {"model": model.load(f"{path}/model"), "params": params, "calibrator": kind.load(f"{path}/calibrator") if kind else None}
 
 
 def predict_run(run: dict, rows: DataFrame) -> DataFrame:

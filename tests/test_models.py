@@ -56,12 +56,14 @@ def _newton(x, y, w, C):
 def test_logistic_matches_newton(spark, wide):
     rows = ft.training_rows(wide)
     fitted = md.fit_logistic(rows, LogisticConfig(C=0.5))
-    scored = fitted.model.transform(md.weighted(rows, 730)).select("features", md.WEIGHT, ft.TARGET).collect()
+    scored = fitted.model.transform(md.weighted(rows, 730)).select("features", md.WEIGHT, ft.TARGET, md.PROB).collect()
     x = np.array([r.features.toArray() for r in scored])
     keep = x.std(axis=0) > 0
     b = _newton(x[:, keep], np.array([r[ft.TARGET] for r in scored]), np.array([r[md.WEIGHT] for r in scored]), 0.5)
-    got = fitted.model.stages[-1].coefficients.toArray()[keep]
-    assert got == pytest.approx(b[:-1], abs=1e-4)
+    got = fitted.model.solution.coefficients[keep]
+    assert got == pytest.approx(b[:-1], abs=1e-7)
+    chance = 1 / (1 + np.exp(-np.c_[x[:, keep], np.ones(len(x))] @ b))
+    assert [r[md.PROB] for r in scored] == pytest.approx(chance.tolist(), abs=1e-7)
 
 
 def test_unknown_category_is_all_zeros(spark, wide):
@@ -72,7 +74,7 @@ def test_unknown_category_is_all_zeros(spark, wide):
 
 
 def test_branch_run_saves_and_loads(spark, wide, tmp_path):
-    run = md.train_branch(wide, SPLIT, "trees", "Hard", trees=TreeConfig(n_estimators=3, max_depth=2, learning_rate=0.3))
+    run = md.train_branch(wide, SPLIT, "trees", "Hard", trees=TreeConfig(rounds=3, depth=2, rate=0.3, leaf_hessian=1.0))
     got = {r.split: r for r in run["metrics"].collect()}
     assert set(got) == {"validation", "test"} and got["test"].roc_auc > 0.7
     assert run["calibration"] in ("raw", "isotonic", "sigmoid")
