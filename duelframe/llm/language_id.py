@@ -28,19 +28,17 @@ MAX_N = 4
 PROFILE = 400
 #: Expected number of documents per language that profiles are learned from.
 SAMPLE_DOCS = 2000
-#: Distinct letters with a sign of their own; the rest share one. 0 is a word edge.
-LETTERS = 62
 UNKNOWN = "und"
 BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages in order, the sign of each code point, the n-grams known and their ranks by language."""
+    """Languages in order, which code points are letters, the n-grams known and their ranks by language."""
 
     languages: tuple[str, ...]
-    signs: np.ndarray  # by code point, uint8
-    grams: np.ndarray  # sorted
+    letters: np.ndarray  # by code point
+    grams: np.ndarray  # sorted keys
     ranks: np.ndarray  # grams x languages; PROFILE where a language lacks the n-gram
 
 
@@ -53,19 +51,27 @@ def letter_mask() -> np.ndarray:
     return np.frompyfunc(lambda c: chr(c).isalpha(), 1, 1)(np.arange(0x110000)).astype(bool)
 
 
-def signs_of(letters: list[int], is_letter: np.ndarray) -> np.ndarray:
-    signs = np.where(is_letter, LETTERS + 1, 0).astype(np.uint8)
-    signs[np.asarray(letters, dtype=np.int64)] = np.arange(1, len(letters) + 1, dtype=np.uint8)
-    return signs
+def letters_of(text: str, letters: np.ndarray) -> np.ndarray:
+    """Code points of a text, 0 for all that is no letter: a word edge."""
+    points = code_points(text)
+    return np.where(letters[points], points, 0)
+
+
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """The same number of different keys, with their bits well mixed."""
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
 
 def count_grams(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text given as signs, and their counts.
+    """Keys of the distinct n-grams of a text given as letters and edges, and their counts.
 
     Runs of edges count as one; an n-gram may hold an edge only at its ends, and
-    not be an edge alone. Long texts are counted block by block.
+    not be an edge alone. Every letter of every script counts as itself: keys are
+    64-bit hashes of code points. Long texts are counted block by block.
     """
-    edged = np.zeros(len(signs) + 2, dtype=np.int32)
+    edged = np.zeros(len(signs) + 2, dtype=np.uint64)
     edged[1:-1] = signs
     keep = np.ones(len(edged), dtype=bool)
     keep[1:] = (edged[1:] != 0) | (edged[:-1] != 0)
@@ -75,8 +81,8 @@ def count_grams(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = run[first : first + BLOCK + MAX_N - 1]
         starts = min(BLOCK, len(run) - first)
         keys = []
-        gram = part[:starts]
-        keys.append(gram[gram != 0])
+        gram = part[:starts] + np.uint64(1)
+        keys.append(gram[gram != 1])
         inner = np.ones(starts, dtype=bool)  # no edge strictly inside
         for n in range(2, MAX_N + 1):
             more = part[n - 1 :]
@@ -85,31 +91,32 @@ def count_grams(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 break
             if n > 2:
                 inner = inner[:size] & (part[n - 2 : n - 2 + size] != 0)
-            gram = (gram[:size] << 6) | more[:size]
-            keys.append(gram[inner[:size]] + (n << 25))
-        found.append(np.unique(np.concatenate(keys), return_counts=True))
+            # three code points fit in 64 bits side by side; with a fourth they are mixed first
+            gram = gram[:size] if n < 4 else mixed(gram[:size]).view(np.uint64)
+            gram = gram * np.uint64(0x10FFFF + 4) + more[:size] + np.uint64(1)
+            keys.append(gram[inner[:size]])
+        found.append(np.unique(mixed(np.concatenate(keys)), return_counts=True))
     if len(found) == 1:
         return found[0]
     if not found:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
 
 
 def most_frequent(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent keys, most frequent first, ties to the smaller key."""
-    order = (counts.astype(np.int64) << 32) - keys
-    if len(order) > size:
-        top = np.argpartition(order, len(order) - size)[-size:]
-        return keys[top[np.argsort(-order[top])]]
-    return keys[np.argsort(-order)]
+    if len(keys) > size:
+        enough = counts >= np.partition(counts, len(counts) - size)[len(counts) - size]
+        keys, counts = keys[enough], counts[enough]
+    return keys[np.lexsort((keys, -counts))][:size]
 
 
 def judge(text: str | None, profiles: Profiles) -> tuple[str, float]:
     """Nearest language and 1 - distance / largest distance; ``und`` and 0 without a letter."""
     if not text or not len(profiles.languages):
         return UNKNOWN, 0.0
-    signs = profiles.signs[code_points(text)]
+    signs = letters_of(text, profiles.letters)
     if not signs.any():
         return UNKNOWN, 0.0
     top = most_frequent(*count_grams(signs), PROFILE)
@@ -124,39 +131,23 @@ def judge(text: str | None, profiles: Profiles) -> tuple[str, float]:
     return profiles.languages[best], float(1.0 - total[best] / (PROFILE * len(top)))
 
 
-def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
-    """Profiles from rows with a text and a language; other rows are ignored."""
+def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", drawn_by: tuple[str, ...] = ("doc_id", "text")) -> Profiles:
+    """Profiles from rows with a text and a language; other rows are ignored. ``drawn_by``: columns whose hash draws the sample."""
     ship(__name__)
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    lot = F.pmod(F.xxhash64(*[c for c in drawn_by if c in labelled.columns]), F.lit(1 << 20)) / float(1 << 20)
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), lot.alias("lot")).where("text IS NOT NULL AND lang IS NOT NULL")
     share = spool(
         rows.groupBy("lang").agg((F.lit(float(SAMPLE_DOCS)) / F.count(F.lit(1))).alias("share")), "lang-shares"
     )
-    lot = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = spool(join_sized(rows, share, ["lang"]).where(lot < F.col("share")).select("lang", "text"), "lang-sample")
-    is_letter = letter_mask()
-
-    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget_kept()
-        total = np.zeros(0x110000, dtype=np.int64)
-        for batch in batches:
-            for value in batch["text"]:
-                at, n = np.unique(code_points(value), return_counts=True)
-                total[at] += n
-        total[~is_letter] = 0
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"letter": found, "n": total[found]})
-
-    common = (
-        sample.select("text").mapInPandas(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "letter").limit(LETTERS).collect()
-    )
-    signs = signs_of([r["letter"] for r in common], is_letter)
+    sample = spool(join_sized(rows, share, ["lang"]).where(F.col("lot") < F.col("share")).select("lang", "text"), "lang-sample")
+    letters = letter_mask()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for name, texts in batch.groupby("lang")["text"]:
-                found = [count_grams(signs[code_points(value)]) for value in texts]
+                found = [count_grams(letters_of(value, letters)) for value in texts]
                 if name in totals:
                     found.append(totals[name])
                 keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
@@ -164,15 +155,15 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
         for name, (keys, counts) in totals.items():
             yield pd.DataFrame({"lang": name, "gram": keys, "n": counts})
 
-    grams = sample.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < PROFILE).select("lang", "gram", "rank").collect()
     languages = tuple(sorted({r["lang"] for r in top}))
-    known = np.array(sorted({r["gram"] for r in top}), dtype=np.int32)
+    known = np.array(sorted({r["gram"] for r in top}), dtype=np.int64)
     ranks = np.full((len(known), len(languages)), PROFILE, dtype=np.int64)
     if top:
         ranks[np.searchsorted(known, [r["gram"] for r in top]), [languages.index(r["lang"]) for r in top]] = [r["rank"] for r in top]
-    return Profiles(languages, signs, known, ranks)
+    return Profiles(languages, letters, known, ranks)
 
 
 def language_of(text: str, profiles: Profiles) -> Column:
