@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import connected_components, forget_kept, join_sized
+from duelframe.llm.common import connected_components, forget_kept, fresh_name, join_sized
 from duelframe.session import ship, spool
 
 WORDS, PERCENT = 3, 85
@@ -173,19 +173,32 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, percent: int
 def keep_one(docs: DataFrame, words: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
-    All columns stay. Repeated rows of an id are copies of each other; rows with
-    a null id or without words are kept.
+    All columns stay. Groups are made of texts: rows of one id with unlike texts
+    are judged each on its own, rows of one id with the same text are copies of
+    each other. Rows with a null id or without words are kept.
     """
-    groups = near_duplicates(docs, id_column, text_column, words, percent)
-    dropped = spool(groups.where("NOT kept").select(id_column).distinct(), "near-dropped")
-    repeated = spool(
-        groups.where(f"kept AND {id_column} IS NOT NULL").groupBy(id_column).count().where("count > 1").select(id_column), "near-repeated"
+    _, rows, classes, linked, _ = _classed(docs, id_column, text_column, words, percent)
+    # the group of a class, and of a group the class with the smallest id
+    groups = join_sized(classes.select("rep", "name", "copies"), linked.select(F.col("node").alias("rep"), F.col("component").alias("g")), ["rep"], "left")
+    groups = groups.withColumn("g", F.coalesce("g", "rep"))
+    heads = groups.groupBy("g").agg(F.min(F.struct("name", "rep")).alias("head"), F.sum("copies").alias("rows")).where("rows > 1")
+    found = spool(
+        join_sized(groups.select("rep", "g"), heads, ["g"]).select("rep", F.col("head.rep").alias("head"), F.col("head.name").alias("head_id")), "near-heads"
     )
-    kept = join_sized(docs, dropped, [id_column], "left_anti")
+    # of the head class the row of the smallest id and text stays
+    members = join_sized(rows.select("doc_id", "same", "rep"), found, ["rep"])
+    first = members.where("rep = head AND doc_id = head_id").groupBy("rep").agg(F.min("same").alias("first"))
+    judged = members.join(first, "rep", "left").withColumn("stays", F.coalesce((F.col("doc_id") == F.col("head_id")) & (F.col("same") == F.col("first")), F.lit(False)))
+    judged = spool(judged.groupBy("doc_id", "same").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")), "near-judged")
+    own_id, own_same = (fresh_name(docs.columns, c) for c in ("near_id", "near_same"))
+    keyed = docs.withColumns({own_id: F.col(id_column).cast("long"), own_same: F.coalesce(F.xxhash64(text_column), F.lit(0))})
+    named = lambda df: df.select(F.col("doc_id").alias(own_id), F.col("same").alias(own_same))
+    kept = join_sized(keyed, named(judged.where("NOT stays")), [own_id, own_same], "left_anti")
+    repeated = spool(named(judged.where("stays AND rows > 1")), "near-repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    once = join_sized(kept, repeated, [id_column], "left_semi").dropDuplicates([id_column])
-    return join_sized(kept, repeated, [id_column], "left_anti").unionByName(once).select(*docs.columns)
+    once = join_sized(kept, repeated, [own_id, own_same], "left_semi").dropDuplicates([own_id, own_same])
+    return join_sized(kept, repeated, [own_id, own_same], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def near_duplicates(
@@ -196,12 +209,40 @@ def near_duplicates(
     Texts link if 100 * intersection >= ``percent`` * union of their shingle
     sets. Null, empty and blank texts have no shingles and link with nothing.
     Rows with a null id link with nothing, have a null component and are kept.
-    Repeated rows of one id count as one document and get equal results; exact
-    copies of any number cost one class. Whole texts are read. Empty tables give
-    no rows; other columns are not read.
+    Links are found between texts and folded to ids at the end, so unlike texts
+    of one id bring all their links, and are in one component as they share the
+    id; ties do not matter. Repeated rows get equal results; exact copies of any
+    number cost one class. Whole texts are read. Empty tables give no rows; other
+    columns are not read.
+    """
+    signed, rows, classes, _, links = _classed(docs, id_column, text_column, words, percent)
+    ids = classes.select("rep", "name")
+    named = links.join(ids.withColumnsRenamed({"rep": "a", "name": "x"}), "a").join(ids.withColumnsRenamed({"rep": "b", "name": "y"}), "b").select("x", "y")
+    # an id with several texts holds their classes together
+    several = spool(rows.select("doc_id", "rep").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-several")
+    held = join_sized(rows.select("doc_id", "rep"), several, ["doc_id"]).join(ids, "rep").select(F.col("doc_id").alias("x"), F.col("name").alias("y"))
+    edges = named.unionByName(held).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    folded = spool(connected_components(edges, "near-ids").select("node", "component"), "near-folded")
+    # a row's own class leads to its name, unless the id itself is in a component
+    copied = join_sized(rows.select("doc_id", "rep"), classes.where("copies > 1").select("rep", "name"), ["rep"]).select("doc_id", "name").distinct()
+    leads = copied.groupBy("doc_id").agg(F.min("name").alias("name"))
+    out = signed.select("doc_id", "n").join(leads, "doc_id", "left").withColumn("name", F.coalesce("name", "doc_id"))
+    out = join_sized(out, folded.select(F.col("node").alias("name"), "component"), ["name"], "left")
+    component = F.coalesce("component", "name")
+    return out.select(
+        F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    )
+
+
+def _classed(docs: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> tuple[DataFrame, ...]:
+    """Signed rows; rows with words and an id, with their class; classes of equal sets (rep, name: smallest id, copies);
+    components of linked classes; links between classes.
+
+    A class has a number of its own, so that unlike texts of one id are not taken for one another.
     """
     ship(__name__)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.xxhash64(text_column), F.lit(0)).alias("same"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
@@ -211,26 +252,25 @@ def near_duplicates(
                 found = shingles(text.as_py(), words)
                 least = minima(found)
                 n.append(len(found))
-                h1.append(int(np.add.reduce(found).view(np.int64)))
-                h2.append(int(np.bitwise_xor.reduce(mixed(found * np.uint64(3))).view(np.int64)))
+                h1.append(_sum_of(found))
+                h2.append(_other_of(found))
                 sig.append(packed(least))
                 bands.append(band_keys(least))
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(sig, pa.binary()),
+            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(sig, pa.binary()),
                        pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "h1", "h2", "sig", "bands"])
 
     signed = spool(
-        rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "near-signatures"
+        rows.mapInArrow(sign, "doc_id long, same long, n long, h1 long, h2 long, sig binary, bands array<long>"), "near-signatures"
     )
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = spool(
-        named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes"
-    )
-    reps = spool(
-        named.join(classes.select(F.col("rep").alias("doc_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")), "doc_id")
-        .where("h1 = k1 AND h2 = k2").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig", "bands"),
-        "near-reps",
+    found = named.groupBy("h1", "h2", "n").agg(
+        F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
+    reps = spool(found.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
+    classes = reps.select("rep", "name", "copies", "h1", "h2", "n")
+    of_class = join_sized(named.select("doc_id", "same", "h1", "h2", "n"), classes.select("rep", "h1", "h2", "n"), ["h1", "h2", "n"])
+    of_class = spool(of_class.select("doc_id", "same", "rep"), "near-rows")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = spool(
         keys.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members"))
@@ -244,10 +284,16 @@ def near_duplicates(
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "shingles": [shingles(t, words).tobytes() for t in batch["text"]]})
+            every = [shingles(t, words) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "n": [len(f) for f in every], "h1": [_sum_of(f) for f in every], "h2": [_other_of(f) for f in every],
+                "shingles": [f.tobytes() for f in every],
+            })
 
-    texts = join_sized(rows, groups.select(F.col("rep").alias("doc_id")), ["doc_id"])
-    held = texts.mapInPandas(sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    wanted = spool(join_sized(classes.drop("copies"), groups.select("rep"), ["rep"]).withColumnRenamed("name", "doc_id"), "near-wanted")
+    texts = join_sized(rows.drop("same"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")
+    held = texts.mapInPandas(sets, "doc_id long, n long, h1 long, h2 long, shingles binary")
+    held = join_sized(held, wanted, ["doc_id", "n", "h1", "h2"]).groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
     # blocks: a group's sets by size, so that linked sets are in the same or in neighbouring steps
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -292,15 +338,14 @@ def near_duplicates(
             return compare_blocks(left, None, percent)
         return compare_blocks(left, right, percent) if len(left) and len(right) else compare_blocks(left.iloc[:0], None, percent)
 
-    links = dealt.groupBy("g", "s1", "p1", "s2", "p2").applyInPandas(link, "a long, b long")
+    links = spool(dealt.groupBy("g", "s1", "p1", "s2", "p2").applyInPandas(link, "a long, b long"), "near-found")
     linked = spool(connected_components(links, "near-links"), "near-linked")
+    return signed, of_class, classes, linked, links
 
-    copied = classes.where("copies > 1").select("h1", "h2", "n", "rep")
-    out = join_sized(signed.select("doc_id", "n", "h1", "h2"), copied, ["h1", "h2", "n"], "left")
-    out = out.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    out = join_sized(out, linked.select(F.col("node").alias("rep"), "component"), ["rep"], "left")
-    component = F.coalesce("component", "rep")
-    return out.select(
-        F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+
+def _sum_of(found: np.ndarray) -> int:
+    return int(np.add.reduce(found).view(np.int64))
+
+
+def _other_of(found: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(found * np.uint64(3))).view(np.int64))

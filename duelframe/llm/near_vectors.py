@@ -240,8 +240,10 @@ def near_duplicate_vectors(
     Vectors link if their labels are equal and not null and their cosine in
     double precision reaches ``threshold``. Null, empty and zero vectors and
     those with null or non-finite numbers link with nothing; vectors of other
-    lengths count as filled up with zeros. Ids name vectors: repeated rows of an
-    id count once (the smallest vector) and get equal results. Rows with a null
+    lengths count as filled up with zeros. Links are found between vectors and
+    folded to ids at the end: unlike rows of one id bring all their links, each
+    row counts its own, and they share a component; equal rows of an id count
+    once and get equal results. Rows with a null
     id link with nothing, have a null component and are kept. Ties do not
     matter, as every pair that reaches the threshold is a link. Empty tables give
     no rows; other columns are not read.
@@ -249,17 +251,26 @@ def near_duplicate_vectors(
     ship(__name__)
     ship("duelframe.llm.vector_search")
     every = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), F.col(label_column).alias("label"))
-    named = every.where("vec_id IS NOT NULL AND label IS NOT NULL").where(usable("v") & F.exists("v", lambda x: x != 0))
-    named = named.select("vec_id", "label", F.transform("v", lambda x: x.cast("double") + 0.0).alias("v"))
-    single = spool(named.groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("x")).select("vec_id", "x.*"), "vector-rows")
+    fits = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0)
+    every = every.select("vec_id", "label", F.when(fits, F.transform("v", lambda x: x.cast("double") + 0.0)).alias("v"))
+    # equal vectors are told by 128 bits
+    every = every.withColumns({
+        "h1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), F.reverse("v"))),
+    })
+    single = spool(
+        every.where("v IS NOT NULL").groupBy("vec_id", "label", "h1", "h2").agg(F.first("v").alias("v")), "vector-rows"
+    )
+    # a class has a number of its own, as several may hold the same id
     classes = spool(
-        single.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes"
+        single.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+        .withColumn("rep", F.monotonically_increasing_id()),
+        "vector-classes",
     )
     width = classes.agg(F.max(F.size("v"))).first()[0] or 1
     sizes = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"),
                                          F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     reps = spool(
-        join_sized(classes, sizes, ["label"])
+        join_sized(classes.select("label", "v", "rep", "copies"), sizes, ["label"])
         .withColumn("s", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int"))
         .withColumn("q", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")),
         "vector-reps",
@@ -333,14 +344,23 @@ def near_duplicate_vectors(
         "vector-links",
     )
     counts = found.where("NOT edge").groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-groups")
-    copied = single.join(classes.where("copies > 1"), ["label", "v"]).select("vec_id", "rep", "copies")
-    out = every.select("vec_id").join(copied, "vec_id", "left").select(
-        "vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("own")
+    same = ["label", "h1", "h2"]
+    members = spool(
+        single.select("vec_id", *same).join(classes.select(*same, "rep", "name", "copies"), same), "vector-members"
     )
-    out = out.join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    names = classes.select("rep", "name")
+    edges = found.where("edge").select("rep", "other").join(names, "rep").select("other", F.col("name").alias("a"))
+    edges = edges.join(names.withColumnsRenamed({"rep": "other", "name": "b"}), "other").select("a", "b")
+    # an id with several vectors holds their classes together
+    several = spool(members.groupBy("vec_id").count().where("count > 1").select("vec_id"), "vector-several")
+    held = join_sized(members, several, ["vec_id"]).select(F.col("vec_id").alias("a"), F.col("name").alias("b"))
+    groups = connected_components(edges.unionByName(held), "vector-groups").select(F.col("node").alias("name"), "component")
+    leads = members.groupBy("vec_id").agg(F.min("name").alias("name"))
+    out = every.select("vec_id", *same).join(members.drop("name"), ["vec_id", *same], "left").join(counts, "rep", "left")
+    out = out.join(leads, "vec_id", "left").withColumn("name", F.coalesce("name", "vec_id")).join(groups, "name", "left")
+    component = F.coalesce("component", "name")
+    links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     return out.select(
-        F.col("vec_id").alias(id_column), (F.col("own") + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.col("vec_id").alias(id_column), links.cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )

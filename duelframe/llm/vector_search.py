@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.ordering import global_index
 from duelframe.session import ship, spool
 
 SCALE = 1024
@@ -114,20 +115,22 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = K, id_column: st
     """(query_id, rank, vec_id, score): each query's ``k`` best other rows, all if fewer.
 
     Null ids and vectors that are null or hold null or non-finite numbers take
-    no part. Shorter vectors count as filled up with zeros. Of rows with one id
-    the smallest vector counts; a row is never its own candidate. Ties go to the
-    smaller id. Empty tables and tables without queries give no rows; other
-    columns are not read.
+    no part, nor do vectors whose integer form has a squared length of 2^62 or
+    more, as their scores need not fit in 64 bits. Shorter vectors count as
+    filled up with zeros. Rows count, whatever their ids: several rows of an id
+    are candidates, and queries, each; a row is never its own candidate. Ties go
+    to the smaller id. Empty tables and tables without queries give no rows;
+    other columns are not read.
     """
     ship(__name__)
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("e"))
-    base = spool(
-        base.where(F.col("vec_id").isNotNull() & usable("e")).select("vec_id", scaled("e").alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v")),
-        "search-rows",
+    rows = vectors.select(
+        F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("e"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    rows = rows.where(F.col("id").isNotNull() & usable("e")).select("id", "asks", scaled("e").alias("v")).where(length < float(2**62))
+    # rows are numbered in the order of their ids, which names them and settles ties
+    base = spool(global_index(rows.withColumn("h", F.xxhash64("v")), ["id", "h"], "vec_id").drop("h"), "search-rows")
     n, width, squared = base.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(length)).first()
     width, squared = max(1, width or 1), float(squared or 0.0)
     sample = base.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(FIRST_ROWS).toPandas()
@@ -166,7 +169,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = K, id_column: st
         })
 
     parts = max(1, -(-n // (8 * ANNULUS)), min(spark.sparkContext.defaultParallelism, -(-n // ANNULUS)))
-    keyed = base.mapInPandas(key, "vec_id long, v array<long>, pivot int, away double")
+    keyed = base.select("vec_id", "v").mapInPandas(key, "vec_id long, v array<long>, pivot int, away double")
     index = spool(
         keyed.repartitionByRange(parts, "pivot", "away", "vec_id").sortWithinPartitions("pivot", "away", "vec_id")
         .mapInPandas(cut, "pivot int, lo double, hi double, ids binary, rows binary"),
@@ -184,7 +187,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = K, id_column: st
 
     annuli = index.count()
     groups = max(1, -(-annuli // GROUP_ANNULI), min(annuli, 2 * spark.sparkContext.defaultParallelism))
-    asked = base.where(is_query)
+    asked = base.where("asks").select("vec_id", "v")
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     queries = asked.mapInPandas(first_bound, "vec_id long, v array<long>, least double").withColumn(
         "q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
@@ -199,6 +202,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = K, id_column: st
 
     found = dealt.groupBy("g", "q").cogroup(queries.groupBy("g", "q")).applyInPandas(search, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    best = spool(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k), "search-found")
+    ids = base.select(F.col("vec_id"), "id")
+    named = best.join(ids.withColumnsRenamed({"vec_id": "query_id", "id": "query"}), "query_id").join(ids, "vec_id")
+    return named.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
