@@ -1,12 +1,12 @@
 """License scans by conditional compression.
 
 Documents with a word of licensing are found by a JVM pattern. In them, runs of
-words around such words are candidate blocks. Every license wording that
-has enough of its words in a block is aligned with it word by word. What was
-aligned is compressed alone and with the wording as zstandard raw dictionary; a
-wording is the likelier, the more the dictionary saves. One is confirmed if the
-words that differ are few, none of its decisive words (name, version, terms) is
-among them, and the dictionary saves enough.
+words around such words are candidate blocks. Windows of a block, as long as a
+license wording and half of it more, are compressed alone and with the wording as
+zstandard raw dictionary; what the dictionary saves ranks all wordings in all
+windows of the block. The winners are confirmed in the order of their rank: a
+wording stands in its window if few words differ and none of its decisive words
+(name, version, terms) is among them, and no wording of a higher rank stands there.
 
 Blocks are counted in words and take no notice of lines, so hard-wrapped notices
 are read like others. A block is bounded, so very long texts give many blocks and
@@ -63,6 +63,15 @@ WORDINGS: tuple[tuple[str, str, str], ...] = (
      "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
      "the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "free unencumbered public domain", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "permission granted free charge sublicense substantial warranty merchantability",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+     "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+     'portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+     "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+     "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 CUES = (
     r"(?i)licen[sc]e|copyright|permission\W+is|permission\W+to\W+use|redistribut|unencumbered|creative\W+commons|\bCC0\b|\bCC\W+BY\b|spdx|"
@@ -70,9 +79,9 @@ CUES = (
 )
 #: The most words that a block holds; it takes as many on either side of a cue as the longest occurrence of a wording.
 MOST_WORDS = 512
-#: The share of a wording's words that may differ, and the share of the compressed size that it must save.
+#: The share of a wording's words that may differ, and the share of what it saves on itself that it must save in a window.
 DIFFERING = 0.15
-LEAST_REDUCTION = 0.2
+LEAST_SAVING = 0.2
 
 #: A word may go on in the next line after a hyphen.
 WORD = re.compile(r"(?<![\w.\-+/])[\w.\-+/]*(?:(?<=\w-)[ \t]*\n[ \t]*(?=\w)[\w.\-+/]*)*\w")
@@ -103,9 +112,12 @@ class Scanner:
         self._plain = zstd.ZstdCompressor(level=3, write_content_size=False)
         self._wordings = []
         for name, decisive, wording in wordings:
-            shared = zstd.ZstdCompressionDict(wording.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             words, _ = words_at(wording)
-            self._wordings.append((name, tuple(words_at(decisive)[0]), words, zstd.ZstdCompressor(level=3, dict_data=shared, write_content_size=False)))
+            raw = " ".join(words).encode()
+            shared = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            packer = zstd.ZstdCompressor(level=3, dict_data=shared, write_content_size=False)
+            own = len(self._plain.compress(raw)) - len(packer.compress(raw))
+            self._wordings.append((name, tuple(words_at(decisive)[0]), words, packer, own))
         self._cue = re.compile(CUES)
         self._reach = max(len(w[2]) + int(DIFFERING * len(w[2])) for w in self._wordings)
 
@@ -142,37 +154,60 @@ class Scanner:
         if run:
             yield run[0][0], run[-1][1]
 
-    def matches(self, text: str | None) -> list[Match]:
+    def ranked(self, words: list[str], step: int | None = None) -> list[tuple[int, float, int, int, int]]:
+        """(bytes saved, share of the wording's own saving, wording, first word, end) of windows, the largest saving first.
+
+        A window begins every half wording (or every ``step`` words), and holds half a wording more than an
+        occurrence, so that each occurrence lies in one window whole.
+        """
+        plain: dict[tuple[int, int], tuple[bytes, int]] = {}
+        out = []
+        for k, (_, _, wording, packer, own) in enumerate(self._wordings):
+            size = len(wording)
+            stride = step or max(1, size // 2)
+            width = size + int(DIFFERING * size) + max(1, size // 2)
+            for start in range(0, max(1, len(words) - int(size * (1 - DIFFERING)) + 1), stride):
+                end = min(start + width, len(words))
+                if (start, end) not in plain:
+                    raw = " ".join(words[start:end]).encode("utf-8", "replace")
+                    plain[start, end] = raw, len(self._plain.compress(raw))
+                raw, alone = plain[start, end]
+                saved = alone - len(packer.compress(raw))
+                if saved >= LEAST_SAVING * own:
+                    out.append((saved, saved / own, k, start, end))
+        return sorted(out, key=lambda c: (-c[0], -c[1], c[2], c[3]))
+
+    def matches(self, text: str | None, step: int | None = None) -> list[Match]:
         """Confirmed wordings of a text in order.
 
-        Where spans overlap, the one with fewer differing words, then the longer,
-        then the one whose dictionary saves more stays.
+        In a block wordings are confirmed by rank; one does not stand where a winner does. Of neighbouring
+        blocks, which overlap, the occurrence with fewer differing words stays, then the longer one.
         """
         found: list[tuple[float, int, Match]] = []
         for first, last in self.blocks(text or ""):
             block = text[first:last]
             words, spans = words_at(block)
-            present = set(words)
-            for k, (name, decisive, wording, _) in enumerate(self._wordings):
-                if not possible(present, wording, decisive):
-                    continue
-                for start, end, missing, added in occurrences(words, wording, decisive):
-                    differ = (missing + added) / len(wording)
-                    # the block may hold more than the wording: its own saving is measured on what was aligned
-                    part = block[spans[start][0] : spans[end - 1][1]]
-                    reduction = self.reduction(part, k)
-                    if reduction >= LEAST_REDUCTION:
-                        found.append((differ, -len(wording), Match(
-                            name, first + spans[start][0], first + spans[end - 1][1], round(reduction, 6), missing, added)))
+            taken = bytearray(len(words))
+            for _, _, k, low, high in self.ranked(words, step):
+                name, decisive, wording = self._wordings[k][:3]
+                low, high = max(0, low - len(wording)), high + len(wording)  # a window may begin or end inside an occurrence
+                for start, end, missing, added in occurrences(words[low:high], wording, decisive):
+                    start, end = low + start, low + end
+                    if any(taken[start:end]):
+                        continue
+                    taken[start:end] = b"\x01" * (end - start)
+                    found.append(((missing + added) / len(wording), -len(wording), Match(
+                        name, first + spans[start][0], first + spans[end - 1][1], self.reduction(words[start:end], k), missing, added)))
         kept: list[Match] = []
         for _, _, match in sorted(found, key=lambda f: (f[0], f[1], -f[2].reduction, f[2].start, f[2].license)):
             if all(match.end <= m.start or m.end <= match.start for m in kept):
                 kept.append(match)
         return sorted(kept, key=lambda m: m.start)
 
-    def reduction(self, part: str, k: int) -> float:
-        raw = part.lower().encode("utf-8", "replace")
-        return 1 - len(self._wordings[k][3].compress(raw)) / len(self._plain.compress(raw))
+    def reduction(self, words: list[str], k: int) -> float:
+        """Share of the compressed size that a wording saves as dictionary."""
+        raw = " ".join(words).encode("utf-8", "replace")
+        return round(1 - len(self._wordings[k][3].compress(raw)) / len(self._plain.compress(raw)), 6)
 
 
 def possible(present: set[str], wording: list[str], decisive: tuple[str, ...]) -> bool:

@@ -46,3 +46,30 @@ def test_wrapped_notices_at_any_cut():
         found = scanner.matches(text)
         assert [(m.license, m.missing, m.added) for m in found] == [("MIT", 0, 0)], n
         assert text[found[0].start : found[0].end] == wrapped[:-1]
+
+
+def test_windows_at_every_word_give_the_same():
+    """Every window against every wording: ranks and winners do not depend on where windows begin."""
+    scanner, draw = licenses.Scanner(), random.Random(3)
+    for _ in range(25):
+        picked = draw.sample(licenses.WORDINGS, 3)
+        noisy = []
+        for name, _, wording in picked:
+            words = wording.split()
+            if len(words) > 14:  # a few words of a long wording differ
+                words[len(words) // 2 : len(words) // 2 + 1] = ["otherwise"]
+            noisy.append(" ".join(words))
+        text = " ".join(w for notice in noisy for w in (notice, sentence(draw)))
+        assert scanner.matches(text) == scanner.matches(text, step=1)
+
+
+def test_compression_decides(monkeypatch):
+    """Without savings there are no candidates, and another dictionary changes the ranking."""
+    text = licenses.WORDINGS[2][2]
+    words, _ = licenses.words_at(text)
+    names = [licenses.WORDINGS[c[2]][0] for c in licenses.Scanner().ranked(words)]
+    assert names[0] == "MIT"
+    swapped = tuple((n, d, licenses.WORDINGS[5][2] if k == 2 else w) for k, (n, d, w) in enumerate(licenses.WORDINGS))
+    assert licenses.Scanner(swapped).ranked(words) != licenses.Scanner().ranked(words)
+    monkeypatch.setattr(licenses.Scanner, "ranked", lambda self, words, step=None: [])
+    assert licenses.Scanner().matches(text) == []
