@@ -29,11 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null and letterless texts go."""
+    """Documents whose language can be told; null and letterless texts go. Where no language is given, the one told is set."""
     profiles = language_id.learn_profiles(language_id.training_rows(docs))
     found = fresh_name(docs.columns, "language_found")
-    judged = docs.withColumn(found, language_id.language_of("text", profiles))
-    return judged.where(F.col(f"{found}.lang") != language_id.UNKNOWN).drop(found)
+    judged = docs.withColumn(found, language_id.language_of("text", profiles)).where(F.col(f"{found}.lang") != language_id.UNKNOWN)
+    return judged.withColumn("lang", F.coalesce("lang", F.col(f"{found}.lang"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
