@@ -30,7 +30,7 @@ from duelframe.session import ship, spool
 #: Fields of a leaf, in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels of a block, and the messages a queue holds in memory.
-LEVELS, HELD = 15, 8192
+LEVELS, HELD = 12, 1024
 #: Steps of a proof: a sibling after or before the node, or none.
 AFTER, BEFORE, ALONE = b">", b"<", b"-"
 _FRAME = 512
