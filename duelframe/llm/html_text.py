@@ -1,32 +1,35 @@
 """Main text of web pages by consensus of each host's container paths.
 
 First pass: every page scores its containers (article, section, div, ...) and
-names the generalised tag-class path of its best one. Spark counts these votes
-per host. Second pass: every page is cut again with its host's winning path;
-where a page has no such container, the host's next paths are tried and then
-the page's own best one.
+names the generalised tag-class path of its best one, beside the paths that it
+has. Spark counts per host the votes for each path and the pages that have it.
+Second pass: every page is cut again by the path with the most votes among its
+own ones; its own best container joins in where it holds the others, or where
+its path wins on most of the host's pages that have it.
+
+Paths are known by a digest of their names, so that a page's memory grows with
+its length and not with the depth of its elements.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duelframe.llm.common import join_sized
 from duelframe.llm.url_filter import host_and_path
 from duelframe.session import ship, spool
 
-#: Paths a host may win with, in order of votes; pages without any of them use their own best container.
-PATHS_PER_HOST = 8
-#: Winners are broadcast up to this many hosts, and joined by a salted key above.
-BROADCAST_HOSTS = 20_000
-HOST_SALTS = 16
-
 # fixed values: element names of HTML by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -44,18 +47,25 @@ SKIPPED = frozenset(
 SKIPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
-# fixed values: words that name page furniture in class and id attributes
+# fixed values: words that name page furniture in class and id attributes, whatever stands beside them
 SKIPPED_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification "
-    "overlay pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup social "
-    "sponsor sponsored subscribe subscription toolbar widget widgets login alert".split()
+    "ad ads adbox adsense advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist "
+    "cookie cookies disclaimer disqus footer gdpr masthead navbar newsletter pagination popup promo sidebar sponsor sponsored toolbar widget "
+    "widgets".split()
+)
+# fixed values: words that do so only alone or among words for places and shapes
+VAGUE_WORDS = frozenset(
+    "alert banner consent header login menu menubar modal nav navigation notice notices notification overlay pager promoted promotion "
+    "related replies respond search share sharing signup social subscribe subscription".split()
 )
-#: Words that may stand beside one of these in a name; any other word (has-sidebar, comments-open, share-price) makes it another thing.
+#: Words that may stand beside a vague one; any other word (share-price, search-history) makes it another thing.
 NEUTRAL_WORDS = frozenset(
     "site main page top bottom left right primary secondary global local mobile desktop area bar box button buttons block body col column "
-    "container content form group icon icons inner item items links list outer panel post posts row section slot text title unit wrap wrapper".split()
+    "container content form group icon icons inner item items links list outer panel post posts row section slot text title unit wrap wrapper "
+    "article articles blog entry legal media privacy reader readers stories story user users website".split()
 )
+#: Words that say of an element how its page is built (has-sidebar, comments-open, no-footer), not what it is.
+MODIFIERS = frozenset("closed disabled enabled free has have hide is no non not off on open opened show with without".split())
 #: Readers often write more than the author: their names stay furniture however long the text is.
 READERS_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Elements whose start ends an open paragraph, list item or cell of the same kind.
@@ -70,47 +80,59 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-NAME_PART = re.compile(r"[a-zA-Z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+READ_ATTRIBUTES = frozenset("class id role style hidden".split())
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGITS = re.compile(r"\d+")
 
 
 def _furniture_words(marks: str) -> set[str]:
-    """Furniture that class and id names stand for; a name counts as a whole, with neutral words beside the furniture."""
+    """Furniture that class and id names stand for; a name with a modifier stands for none."""
     found: set[str] = set()
     for name in marks.split():
-        words = [w.lower() for w in NAME_PART.findall(name)]
-        named = SKIPPED_WORDS.intersection(words)
-        if named and all(w in named or w in NEUTRAL_WORDS for w in words):
-            found |= named
+        words = {w.lower() for w in NAME_PART.findall(name)}
+        if words & MODIFIERS:
+            continue
+        found |= words & SKIPPED_WORDS
+        vague = words & VAGUE_WORDS
+        if vague and words <= VAGUE_WORDS | NEUTRAL_WORDS | SKIPPED_WORDS:
+            found |= vague
     return found
 
 
 def _describe(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
-    """Generalised name of an element (tag and classes, digits folded), whether tag or role make it page furniture, and its names that do."""
+    """Generalised name of an element (tag and classes, digits folded), whether tag or role make it page furniture, and its names that do.
+
+    An element that a browser does not show counts as named 'hidden'.
+    """
     skipped, name, named = tag in SKIPPED, tag, set()
-    if "=" in attributes:
-        found = {}
-        for m in ATTRIBUTE.finditer(attributes):
-            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-        if "role" in found:
-            skipped = skipped or found["role"].strip().lower() in SKIPPED_ROLES
-        marks = f"{found.get('class', '')} {found.get('id', '')}"
-        if not skipped and tag not in ("body", "html", "main"):
-            named = _furniture_words(marks)
-            if tag == "article":  # a reader's comment may be an article of its own
-                named &= {"comment", "comments", "ad", "ads"}
-        classes = sorted({DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
-        name = ".".join([tag, *classes])
-    return name, skipped, frozenset(named)
+    if not attributes.strip(" \t\r\n\f/"):
+        return name, skipped, frozenset()
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        key = m[1].lower()
+        if key in READ_ATTRIBUTES:
+            found.setdefault(key, m[2] or m[3] or m[4] or "")
+    if "role" in found:
+        skipped = skipped or found["role"].strip().lower() in SKIPPED_ROLES
+    if not skipped and tag not in ("body", "html", "main"):
+        named = _furniture_words(f"{found.get('class', '')} {found.get('id', '')}")
+        if tag == "article":  # a reader's comment may be an article of its own
+            named &= {"comment", "comments", "ad", "ads"}
+        if "hidden" in found or NOT_SHOWN.search(found.get("style", "")):
+            named.add("hidden")
+    classes = sorted({DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
+    return ".".join([tag, *classes]), skipped, frozenset(named)
 
 
 class Page:
     """Text pieces of a page in order and the containers that hold them.
 
     Furniture, scripts, styles and comments leave no piece; the edge of a block
-    or a line break leaves a blank one. A container is (path, first piece, end).
-    The first container is the page itself, with an empty path.
+    or a line break leaves a blank one. A container is (path, first piece, end);
+    a path is the number of its parent and a name. The first container is the
+    page itself, with the empty path 0.
 
     What only its name calls furniture is none if it holds a main element, the
     longest article, or, unless its name is that of readers' comments or an
@@ -126,18 +148,56 @@ class Page:
     def _read_page(self, page: str, shown: frozenset[int]) -> None:
         self.pieces: list[str] = []
         self.linked: list[bool] = []
-        self.containers: list[tuple[str, int, int]] = []
-        self._stack: list[tuple[str, str, bool, int]] = []  # tag, path, furniture, number of its container or -1
+        self.containers: list[tuple[int, int, int]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._parts: list[tuple[int, str]] = [(-1, "")]  # of each path: its parent, its last name
+        self._stack: list[tuple[str, int, bool, int]] = []  # tag, path, furniture, number of its container or -1
+        self._opened: Counter[str] = Counter()
         self._hidden = self._links = 0
         self._shown = shown
         self._hard = self._plain = 0  # furniture by tag or role that is open; plain characters outside of such
         self._names: list[tuple[frozenset[str], int, int]] = []  # furniture by name: its words, plain characters before and up to its end
         self._articles: list[tuple[str, int, int]] = []  # article and main elements: tag, plain characters before and up to the end
         self._marks: list[tuple[bool, int, int]] = []  # of what is open: hard, number in names or -1, number in articles or -1
-        self._open("", "", False, True)
+        self._open("", 0, False, True)
         self._read(page)
         while self._stack:
             self._pop()
+        self._good, self._bad = [0], [0]  # characters of plain and of linked text before each piece
+        for text, linked in zip(self.pieces, self.linked):
+            n = len(text.strip())
+            self._good.append(self._good[-1] + (0 if linked else n))
+            self._bad.append(self._bad[-1] + (n if linked else 0))
+
+    def _path(self, above: int, name: str) -> int:
+        number = self._paths.setdefault((above, name), len(self._parts))
+        if number == len(self._parts):
+            self._parts.append((above, name))
+        return number
+
+    def keys(self) -> list[str]:
+        """Of each path, the digest of its names from the outermost on."""
+        digests: list[str] = []
+        for parent, name in self._parts:
+            above = digests[parent] if parent >= 0 else ""
+            digests.append(hashlib.blake2b(f"{above}>{name}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+        return digests
+
+    def depth(self, path: int) -> int:
+        deep = 0
+        while path > 0:
+            path, deep = self._parts[path][0], deep + 1
+        return deep
+
+    def _tag(self, k: int) -> str:
+        return self._parts[self.containers[k][0]][1].partition(".")[0]
+
+    def holds_text(self, k: int) -> bool:
+        _, first, end = self.containers[k]
+        return self._good[end] + self._bad[end] > self._good[first] + self._bad[first]
+
+    def holds(self, k: int, inner: int) -> bool:
+        return self.containers[k][1] <= self.containers[inner][1] and self.containers[inner][2] <= self.containers[k][2]
 
     def _misnamed(self) -> frozenset[int]:
         """Numbers of the elements that are furniture by name only and hold what cannot be furniture."""
@@ -181,18 +241,20 @@ class Page:
             self.pieces.append(text)
             self.linked.append(self._links > 0)
 
-    def _open(self, tag: str, path: str, hard: bool, container: bool, named: frozenset[str] = frozenset()) -> None:
+    def _open(self, tag: str, path: int, hard: bool, container: bool, named: frozenset[str] = frozenset()) -> None:
         furniture = self._mark(tag, hard, named)
         number = -1
         if container and not furniture and not self._hidden:
             number = len(self.containers)
             self.containers.append((path, len(self.pieces), -1))
         self._stack.append((tag, path, furniture, number))
+        self._opened[tag] += 1
         self._hidden += furniture
         self._links += tag == "a"
 
     def _pop(self) -> str:
         tag, path, furniture, number = self._stack.pop()
+        self._opened[tag] -= 1
         self._unmark()
         self._hidden -= furniture
         self._links -= tag == "a"
@@ -202,6 +264,8 @@ class Page:
 
     def _close(self, tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
         """Close the innermost open element of these names, and what is open inside it; stop at ``within``."""
+        if not any(self._opened[t] for t in tags):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] in tags:
                 while len(self._stack) > k:
@@ -239,7 +303,7 @@ class Page:
             name, furniture, named = _describe(tag, attributes)
             above = self._stack[-1][1]
             if block:
-                self._open(tag, f"{above}>{name}" if above else name, furniture, tag in RATED, named)
+                self._open(tag, self._path(above, name), furniture, tag in RATED, named)
             else:
                 self._open(tag, above, furniture, False, named)
             if tag in RAW:  # no markup inside: go on at its end tag
@@ -254,44 +318,48 @@ class Page:
         An article or main element stands for itself; another container gives way
         to the one around it, short of the body, if it leaves out more than links.
         """
-        good, bad = [0], [0]
-        for text, linked in zip(self.pieces, self.linked):
-            n = len(text.strip())
-            good.append(good[-1] + (0 if linked else n))
-            bad.append(bad[-1] + (n if linked else 0))
-        rated, tags = [], []
-        for k, (path, first, end) in enumerate(self.containers):
-            plain, linked = good[end] - good[first], bad[end] - bad[first]
-            tags.append(path.rpartition(">")[2].partition(".")[0])
+        tags = [self._tag(k) for k in range(len(self.containers))]
+        rated = []
+        for k, (_, first, end) in enumerate(self.containers):
+            plain, linked = self._good[end] - self._good[first], self._bad[end] - self._bad[first]
             rated.append((plain * (plain / (plain + linked)) if plain else 0.0) * BONUS.get(tags[k], 1.0) if k else plain * 0.7)
         most = max(rated)
         best = max((k for k, r in enumerate(rated) if r >= most), key=lambda k: (self._length(k), -k))
-        whole = ("article", "main")
+        lines, whole = self._text_lines(), ("article", "main")
+        alike = self._alike(best)
         for k in range(best - 1, 0, -1):  # what is around a container opened before it
-            inside = self.containers[k][1] <= self.containers[best][1] and self.containers[best][2] <= self.containers[k][2]
-            if inside and tags[k] != "body" and (tags[best] not in whole or tags[k] in whole) and self._leaves_text(k, best):
+            if tags[k] == "body" or tags[best] in whole and tags[k] not in whole or not self.holds(k, best):
+                continue
+            if self._leaves_text(k, alike, lines):
                 best = k
+                alike = self._alike(best)
         return best
 
-    def _leaves_text(self, around: int, taken: int) -> bool:
-        """Whether a line that is more text than links lies in one container and outside of all with the other's path."""
-        _, at, done = self.containers[around]
-        inner = [(first, end) for p, first, end in self.containers[around + 1 :] if p == self.containers[taken][0] and end <= done]
-        for first, end in [*inner, (done, done)]:
-            plain = linked = 0
-            for k in range(at, first):
-                if self.pieces[k] == "\n":
-                    if plain > linked:
-                        return True
-                    plain = linked = 0
-                elif self.linked[k]:
-                    linked += len(self.pieces[k].strip())
-                else:
-                    plain += len(self.pieces[k].strip())
+    def _text_lines(self) -> list[int]:
+        """Before each piece, the number of lines begun that are more text than links; a line lies in a container or outside of it."""
+        begun, start, plain, linked = [0] * (len(self.pieces) + 1), 0, 0, 0
+        for k, piece in enumerate([*self.pieces, "\n"]):
+            if piece != "\n":
+                n = len(piece.strip())
+                plain, linked = (plain, linked + n) if self.linked[k] else (plain + n, linked)
+                continue
             if plain > linked:
-                return True
-            at = max(at, end)
-        return False
+                begun[start + 1] += 1
+            start, plain, linked = k + 1, 0, 0
+        return list(accumulate(begun))
+
+    def _alike(self, k: int) -> tuple[list[int], list[int]]:
+        """First pieces and ends of the containers with the path of this one, in page order; none lies in another."""
+        path = self.containers[k][0]
+        found = [(first, end) for p, first, end in self.containers if p == path]
+        return [first for first, _ in found], [end for _, end in found]
+
+    def _leaves_text(self, around: int, taken: tuple[list[int], list[int]], lines: list[int]) -> bool:
+        """Whether a line that is more text than links lies in one container and outside of all the taken ones."""
+        _, first, end = self.containers[around]
+        firsts, ends = taken
+        low, high = bisect_left(firsts, first), bisect_left(firsts, end)
+        return lines[end] - lines[first] > sum(lines[ends[k]] - lines[firsts[k]] for k in range(low, high))
 
     def _length(self, k: int) -> int:
         _, first, end = self.containers[k]
@@ -308,65 +376,111 @@ class Page:
         return " ".join(entities.unescape("\n".join(parts)).split())
 
 
-def best_path(page: str | None) -> str | None:
-    """Path of the page's best container; null where the page has no text."""
+def survey(page: str | None) -> tuple[str | None, int, list[str]]:
+    """Key and depth of the path of the page's best container, and the keys of all its paths with text; none where the page has no text."""
     if not page:
-        return None
+        return None, 0, []
     read = Page(page)
-    k = read.best()
-    return read.containers[k][0] if read.text([k]) else None
+    best = read.best()
+    if not read.text([best]):
+        return None, 0, []
+    keys = read.keys()
+    path = read.containers[best][0]
+    return keys[path], read.depth(path), sorted({keys[c[0]] for k, c in enumerate(read.containers) if read.holds_text(k)})
+
+
+def best_path(page: str | None) -> str | None:
+    """Key of the path of the page's best container; null where the page has no text."""
+    return survey(page)[0]
 
 
-def main_text(page: str | None, paths: list[str] | None) -> str:
-    """Text under the first of ``paths`` that the page has, else of its own best container."""
+def main_text(page: str | None, paths: Sequence[str] | None, own_wins: bool = False) -> str:
+    """Text under the first of ``paths`` that the page has, else of its own best container.
+
+    The own one joins the others where it lies around one of them, so that no
+    plain text is left beside them, or where ``own_wins`` says that the host
+    votes for its path too.
+    """
     if not page:
         return ""
     read = Page(page)
+    own = read.best()
+    keys = read.keys() if paths is not None and len(paths) else []
     for path in paths if paths is not None else ():
-        numbers = [k for k, c in enumerate(read.containers) if c[0] == path]
+        numbers = [k for k, c in enumerate(read.containers) if keys[c[0]] == path]
         if numbers and (text := read.text(numbers)):
-            return text
-    return read.text([read.best()])
+            around = read._tag(own) not in ("", "body") and any(read.holds(own, k) for k in numbers)
+            return read.text(sorted({*numbers, own})) if around or own_wins else text
+    return read.text([own])
+
+
+def _survey_all(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([survey(h) for h in html], columns=["best", "depth", "paths"])
+
+
+def choose_paths(surveyed: DataFrame) -> DataFrame:
+    """(host, layout, path, own_wins, path_votes) for every layout of ``surveyed`` (host, layout, best, depth, paths).
+
+    A layout is what pages have in common that have the same paths and the same
+    best one. Pages are counted by layout before anything is joined, so a busy
+    host costs as many rows as it has layouts. Equal votes go to the deeper
+    path, then to the smaller key.
+    """
+    layouts = spool(
+        surveyed.groupBy("host", "layout").agg(
+            F.count(F.lit(1)).alias("pages"), F.first("best").alias("best"), F.first("depth").alias("depth"), F.first("paths").alias("paths")
+        ),
+        "page-layouts",
+    )
+    votes = layouts.groupBy("host", F.col("best").alias("path")).agg(F.sum("pages").alias("votes"), F.max("depth").alias("deep"))
+    had = layouts.select("host", "layout", "pages", "best", F.explode("paths").alias("path"))
+    seen = had.groupBy("host", "path").agg(F.sum("pages").alias("seen"))
+    rated = spool(votes.join(seen, ["host", "path"]), "path-votes")
+    return (
+        join_sized(had, rated, ["host", "path"])
+        .groupBy("host", "layout")
+        .agg(
+            F.max(F.struct("votes", "deep", F.col("path"))).alias("most"),
+            F.max((F.col("path") == F.col("best")) & (F.col("votes") * 2 > F.col("seen"))).alias("own_wins"),
+        )
+        .select("host", "layout", F.col("most.path").alias("path"), "own_wins", F.col("most.votes").alias("path_votes"))
+    )
 
 
 def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars, path_votes) for every row of ``pages``.
 
-    Null or blank html gives an empty text of 0 characters. Rows with null or
-    malformed urls vote together as the host ''. Repeated rows vote and return
-    once each; equal votes go to the longer, then the smaller path. Long pages
-    are read whole. An empty table gives no rows; other columns are not read.
+    Null or blank html gives an empty text of 0 characters and no votes. Rows
+    with null or malformed urls vote together as the host ''. Repeated rows vote
+    and return once each; equal votes go to the deeper path, then to the smaller
+    key. Long and deeply nested pages are read whole, and a page may use any
+    path of its host. An empty table gives no rows; other columns are not read.
     """
     ship(__name__)
     host, _ = host_and_path(F.col(url_column))
-    rows = pages.select(F.col(id_column), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).alias("html"))
-
-    @F.pandas_udf(T.StringType())
-    def vote(html: pd.Series) -> pd.Series:
-        return html.map(best_path, na_action="ignore")
-
-    votes = rows.select("host", vote("html").alias("path")).where("path IS NOT NULL").groupBy("host", "path").count()
-    ranked = votes.withColumn(
-        "place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("count"), F.desc(F.length("path")), "path"))
-    ).where(F.col("place") <= PATHS_PER_HOST)
-    winners = spool(
-        ranked.groupBy("host").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"),
-            F.max("count").alias("path_votes"),
-        ),
-        "host-paths",
+    row = [F.xxhash64(F.col(id_column), F.col(url_column)).alias("_row"), F.xxhash64(F.col(html_column)).alias("_html")]
+    rows = pages.select(
+        F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), F.md5(host).alias("host"), F.col(html_column).alias("html"), *row
     )
+    look = F.pandas_udf(_survey_all, "best string, depth int, paths array<string>")
+    surveyed = spool(
+        rows.select("_row", "_html", "host", look("html").alias("s"))
+        .where("s.best IS NOT NULL")
+        .select("_row", "_html", "host", "s.*", F.md5(F.concat_ws(" ", "s.best", "s.paths")).alias("layout")),
+        "page-surveys",
+    )
+    chosen = join_sized(
+        surveyed.select("_row", "_html", "host", "layout"), spool(choose_paths(surveyed), "page-paths"), ["host", "layout"]
+    ).drop("host", "layout")
+    # rows of one key have one url and one html, so they share what is chosen
+    chosen = spool(chosen.dropDuplicates(["_row", "_html"]), "chosen-paths")
 
     @F.pandas_udf(T.StringType())
-    def cut(html: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, p) for h, p in zip(html, paths)], dtype=object)
-
-    if winners.count() <= BROADCAST_HOSTS:
-        placed = rows.join(F.broadcast(winners), "host", "left")
-    else:  # a host with a third of all pages is spread over its salts
-        salts = winners.select("*", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))).alias("salt"))
-        salt = F.pmod(F.xxhash64(id_column, "url"), F.lit(HOST_SALTS)).cast("int")
-        placed = rows.withColumn("salt", salt).join(salts, ["host", "salt"], "left").drop("salt")
-    return placed.select(id_column, "url", cut("html", "paths").alias("text"), "path_votes").select(
-        id_column, "url", "text", F.length("text").cast("long").alias("n_chars"), "path_votes"
-    )
+    def cut(html: pd.Series, path: pd.Series, own_wins: pd.Series) -> pd.Series:
+        found = [main_text(h, [p] if p else None, bool(o)) for h, p, o in zip(html, path, own_wins)]
+        return pd.Series(found, dtype=object)
+
+    placed = join_sized(rows, chosen, ["_row", "_html"], "left")
+    return placed.select(
+        F.col("_id").alias(id_column), F.col("_url").alias("url"), cut("html", "path", F.coalesce("own_wins", F.lit(False))).alias("text"), "path_votes"
+    ).select(id_column, "url", "text", F.length("text").cast("long").alias("n_chars"), "path_votes")
