@@ -49,7 +49,7 @@ def sets_won(score: str) -> Column:
 def level_multiplier(level: str, config: RatingConfig) -> Column:
     key = F.upper(F.trim(F.col(level)))
     value = F.lit(1.0)
-    for name, factor in config.level_multipliers.items():
+    for name, factor in config.step.by_level.items():
         value = F.when(key == name, F.lit(factor)).otherwise(value)
     return value
 
@@ -58,15 +58,15 @@ def margin_multiplier(score: str, config: RatingConfig) -> Column:
     sets = sets_won(score)
     margin = sets.winner - sets.loser
     value = F.lit(1.0)
-    for least, factor in sorted(config.margin_multipliers.items()):
+    for least, factor in sorted(config.step.by_margin.items()):
         value = F.when(margin >= least, F.lit(factor)).otherwise(value)
     return value
 
 
 def effective_k(score: str | None, level: str | None, config: RatingConfig) -> Column:
-    k = F.lit(config.k)
-    if config.use_level and level:
+    k = F.lit(config.step.base)
+    if config.step.by_level and level:
         k = k * level_multiplier(level, config)
-    if config.use_margin and score:
+    if config.step.by_margin and score:
         k = k * margin_multiplier(score, config)
     return k

@@ -35,7 +35,7 @@ def win_expectancy(mine: Column, theirs: Column) -> Column:
 
 
 def surface_bucket(column: str, config: RatingConfig) -> Column:
-    return category_or(column, config.surfaces, config.fallback_surface)
+    return category_or(column, config.surfaces, config.surfaces[0])
 
 
 def _rate(rows: pd.DataFrame, seeds: pd.DataFrame | None, initial: float, weight: float) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def rate_contests(
         F.col("winner_id").cast("string").alias("winner_id"),
         F.col("loser_id").cast("string").alias("loser_id"),
         surface_bucket("surface", config).alias("surface") if "surface" in keyed.columns
-        else F.lit(config.fallback_surface).alias("surface"),
+        else F.lit(config.surfaces[0]).alias("surface"),
         effective_k("score" if has_score else None, "tourney_level" if has_level else None, config).alias("k"),
         (~is_void("score") if has_score else F.lit(True)).alias("live"),
     )
@@ -129,7 +129,7 @@ def rate_contests(
         ("_turn",),
     )
     turns = (indexed.agg(F.max("_turn")).first()[0] or 0) + 1
-    initial, weight = config.initial, config.surface_prior_weight
+    initial, weight = config.start, config.surface_share
 
     if turns == 1:
         rated = indexed.groupBy(*pool).applyInPandas(

@@ -14,19 +14,23 @@ HALF_LIFE_DAYS = 730
 
 
 def split_label(config: SplitConfig, date: str | None = None) -> Column:
+    """First split whose last day is not passed; null without a date."""
     day = F.col(date or config.date)
-    train, validation = F.lit(config.train_end).cast("date"), F.lit(config.validation_end).cast("date")
-    return F.when(day <= train, "train").when(day <= validation, "validation").when(day.isNotNull(), "test")
+    label = F.when(day.isNotNull(), config.rest)
+    for name, last in reversed(config.bounds):
+        label = F.when(day <= F.lit(last).cast("date"), name).otherwise(label)
+    return label
 
 
 def with_split(df: DataFrame, config: SplitConfig, check: bool = False) -> DataFrame:
     """One table with a split column; ``check`` raises when a split is empty."""
-    if config.train_end >= config.validation_end:
-        raise ValueError("train must end before validation")
+    ends = [last for _, last in config.bounds]
+    if any(a >= b for a, b in zip(ends, ends[1:])):
+        raise ValueError("each split must end before the next one")
     out = df.withColumn("split", split_label(config))
     if check:
         present = {r.split for r in out.select("split").distinct().collect()}
-        empty = {"train", "validation", "test"} - present
+        empty = set(config.names) - present
         if empty:
             raise ValueError(f"empty split: {sorted(empty)}")
     return out

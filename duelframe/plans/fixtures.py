@@ -12,7 +12,7 @@ from duelframe.config import SplitConfig
 from duelframe.session import shared_dir
 
 # last day of train and of validation for contests
-SPLIT = SplitConfig(train_end="1999-12-31", validation_end="2000-12-31")
+SPLIT = SplitConfig.until("1999-12-31", "2000-12-31")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

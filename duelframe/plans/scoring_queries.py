@@ -19,7 +19,7 @@ from duelframe.plans.oracle_base import CONTESTS, POINTS
 from duelframe.plans.registry import ORACLES, query, sql
 
 # points fall in January: dates split them as years split contests
-POINT_SPLIT = SplitConfig(train_end="2024-01-01", validation_end="2024-01-02", date="match_date")
+POINT_SPLIT = SplitConfig.until("2024-01-01", "2024-01-02", "match_date")
 
 SERVES = """
 serves AS (

@@ -10,7 +10,7 @@ from duelframe.operators import features as ft
 from duelframe.operators import models as md
 from duelframe.operators import splits as sp
 
-SPLIT = SplitConfig("2020-06-30", "2020-09-30")
+SPLIT = SplitConfig.until("2020-06-30", "2020-09-30")
 
 
 @pytest.fixture(scope="module")
@@ -88,9 +88,9 @@ def test_branch_run_saves_and_loads(spark, wide, tmp_path):
 
 def test_empty_split_raises(spark, wide):
     with pytest.raises(ValueError, match="empty"):
-        sp.with_split(wide, SplitConfig("2030-01-01", "2031-01-01"), check=True)
+        sp.with_split(wide, SplitConfig.until("2030-01-01", "2031-01-01"), check=True)
     with pytest.raises(ValueError):
-        sp.with_split(wide, SplitConfig("2031-01-01", "2030-01-01"))
+        sp.with_split(wide, SplitConfig.until("2031-01-01", "2030-01-01"))
 
 
 def test_folds(spark, wide):
