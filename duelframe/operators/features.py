@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.coerce import DROPPED_ROUNDS, MODEL_SURFACES, require, text_or, to_double
-from duelframe.operators.ordering import running_total
 from duelframe.operators.pairing import CONTEST_FIELDS, PLAIN_DELTAS
+from duelframe.session import ship, spool
 
 TARGET = "label_player_a_win"
 NOT_INPUTS = {"delta_h2h_losses"}
@@ -51,22 +53,81 @@ def training_rows(wide: DataFrame, surface: str | None = None) -> DataFrame:
     )
 
 
+#: Bits that one scan settles; a scan counts so many values of them per column and open prefix.
+DIGIT_BITS = 16
+
+
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles: NaN last, -0.0 as 0.0."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.uint64)
+    top = np.uint64(1) << np.uint64(63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _double_of(bits: int) -> float:
+    top = 1 << 63
+    raw = bits ^ top if bits & top else bits ^ ((1 << 64) - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(columns: Sequence[str], prefixes: dict[str, set[int]], shift: int) -> Callable:
+    """Counts of the digit at ``shift`` among the values of each column that begin with one of its prefixes."""
+    width = np.uint64(DIGIT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for at, name in enumerate(columns):
+                bits = _ordered_bits(batch.column(at).drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+                above = bits >> np.uint64(shift) >> width if shift + DIGIT_BITS < 64 else np.zeros_like(bits)
+                digits = ((bits >> np.uint64(shift)) & np.uint64((1 << DIGIT_BITS) - 1)).astype(np.int64)
+                for prefix in prefixes.get(name, ()):
+                    found = np.bincount(digits[above == np.uint64(prefix)], minlength=1 << DIGIT_BITS)
+                    held[name, prefix] = held[name, prefix] + found if (name, prefix) in held else found
+        for (name, prefix), found in held.items():
+            digits = np.flatnonzero(found)
+            yield pa.RecordBatch.from_pydict({
+                "feature": pa.array([name] * len(digits), pa.string()), "prefix": pa.array([prefix] * len(digits), pa.int64()),
+                "digit": pa.array(digits, pa.int32()), "n": pa.array(found[digits], pa.int64()),
+            })
+
+    return count
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median of every column in one pass over (column, value) counts.
+    """Exact median of every column, by four scans that settle 16 bits each of all of them at once.
 
-    Counts are combined before the shuffle and ranked by range, so no task
-    holds the values of a column.
+    A task keeps the counts of at most two open prefixes per column, and moves
+    those above 0; the driver sees the one digit per column and middle that the
+    counts lead to. Columns without values have no row.
     """
-    tall = df.select(*columns).unpivot([], list(columns), "feature", "value").filter("value is not null")
-    counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_total(counts, ["value"], {"before": "n"}, ["feature"])
-    size = ranked.groupBy("feature").agg(F.sum("n").alias("size"))
-    low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
-    covers = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
-    # the sizes are one row per column
-    return ranked.join(F.broadcast(size), "feature").groupBy("feature").agg(
-        ((F.max(F.when(covers(low), F.col("value"))) + F.max(F.when(covers(high), F.col("value")))) / 2.0).alias("median")
-    )
+    ship(__name__)
+    spark = df.sparkSession
+    values = spool(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "median-values")
+    names = list(columns)
+    # of each column and middle: the bits known, and the place among the values that begin with them
+    middles: dict[tuple[str, int], tuple[int, int | None]] = {(c, m): (0, None) for c in names for m in (0, 1)}
+    digit_order = Window.partitionBy("feature", "prefix").orderBy("digit")
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        prefixes: dict[str, set[int]] = {}
+        for (c, _), (prefix, _) in middles.items():
+            prefixes.setdefault(c, set()).add(prefix)
+        counts = values.mapInArrow(_digit_counts(names, prefixes, shift), "feature string, prefix long, digit int, n long")
+        upto = F.sum("n").over(digit_order)
+        ranked = counts.groupBy("feature", "prefix", "digit").agg(F.sum("n").alias("n")).select(
+            "*", (upto - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("feature", "prefix")).alias("size")
+        )
+        asked = spark.createDataFrame(
+            [(c, m, prefix, place) for (c, m), (prefix, place) in middles.items()], "feature string, middle int, prefix long, place long"
+        )
+        place = F.coalesce("place", F.floor((F.col("size") - 1 + F.col("middle")) / 2))
+        # two rows per column are asked for, and two come back
+        hits = ranked.join(F.broadcast(asked), ["feature", "prefix"]).withColumn("place", place).filter(
+            (F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n"))
+        ).collect()
+        middles = {(r.feature, r.middle): ((r.prefix << DIGIT_BITS) | r.digit, r.place - r.before) for r in hits}
+    found = [(c, (_double_of(middles[c, 0][0]) + _double_of(middles[c, 1][0])) / 2.0) for c in names if (c, 0) in middles]
+    return spark.createDataFrame(found, "feature string, median double")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -21,11 +21,8 @@ from duelframe.plans.scoring_queries import PRIORS, score_ctes
 
 _COMMON = ["common_opp_count", "delta_common_opp_win_pct", "delta_common_opp_matches"]
 _SCORED = ["markov_match_win_prob_a", "delta_markov_match_win"]
-BASELINE = [
-    *WIDE[:-1],
-    WIDE[-1].rstrip()[:-1] + " WHERE a.round NOT IN ('BR', '3RD/4TH'))",
-    *common_ctes(), PRIORS, *score_ctes("priors"),
-]
+BASELINE_WIDE = [*WIDE[:-1], WIDE[-1].rstrip()[:-1] + " WHERE a.round NOT IN ('BR', '3RD/4TH'))", *common_ctes()]
+BASELINE = [*BASELINE_WIDE, PRIORS, *score_ctes("priors")]
 
 
 @query("baseline_track", sql(BASELINE, "SELECT match_id, label_player_a_win, "
@@ -65,14 +62,33 @@ TRAIN = [
 ]
 
 
-@query("feature_matrix", sql(TRAIN, f"SELECT match_id, handedness_combo, tourney_level, {', '.join(_PLAIN)} FROM model_rows", _PLAIN))
+# all inputs, ratings and common opponents included
+_INPUT_SQL = {**DELTA_SQL, **CONTEXT_SQL, **{c: f"coalesce({c}, 0)" for c in _COMMON}, "best_of": "best_of"}
+_NUMERIC = list(ft.NUMERIC)
+ALL_INPUTS = [
+    *BASELINE_WIDE,
+    f"model_rows AS MATERIALIZED (SELECT match_id, tourney_date, tourney_level, {CONTEXT_SQL['handedness_combo']} AS handedness_combo, "
+    + ", ".join(f"({_INPUT_SQL[c]})::DOUBLE AS {c}" for c in _NUMERIC)
+    + " FROM wide LEFT JOIN common USING (tour, player_id_a, player_id_b, tourney_date))",
+    "train AS MATERIALIZED (SELECT * FROM model_rows WHERE tourney_date <= DATE '1999-12-31')",
+    "tall AS (UNPIVOT (SELECT " + ", ".join(f"coalesce({c}, 'nan'::DOUBLE) AS {c}" for c in _NUMERIC) + f" FROM train) ON {', '.join(_NUMERIC)} INTO NAME feature VALUE v)",
+    "medians AS (SELECT feature, median(v) FILTER (NOT isnan(v)) AS median FROM tall GROUP BY feature HAVING count(*) FILTER (NOT isnan(v)) > 0)",
+]
+
+
+@query("feature_matrix", sql(ALL_INPUTS, f"SELECT match_id, handedness_combo, tourney_level, {', '.join(_NUMERIC)} FROM model_rows", _NUMERIC))
 def feature_matrix(spark, sf_dir):
-    return rows(spark, sf_dir).select("match_id", *ft.CATEGORICAL, *_PLAIN)
+    return rows(spark, sf_dir).select("match_id", *ft.CATEGORICAL, *_NUMERIC)
+
+
+def _six(df, *columns):
+    """Statistics of ratings agree to six places, as ratings do."""
+    return df.select("feature", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns])
 
 
-@query("median_impute", sql(TRAIN, "SELECT * FROM medians", ["median"]))
+@query("median_impute", sql(ALL_INPUTS, "SELECT feature, round(median, 6) + 0.0 AS median FROM medians"))
 def medians(spark, sf_dir):
-    return ft.exact_medians(part(spark, sf_dir, "train"), _PLAIN)
+    return _six(ft.exact_medians(part(spark, sf_dir, "train"), _NUMERIC), "median")
 
 
 @query("mode_impute", sql(TRAIN, "SELECT 'handedness_combo' AS feature, (SELECT handedness_combo FROM train GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode "
@@ -81,13 +97,13 @@ def mode_fill(spark, sf_dir):
     return ft.modes(part(spark, sf_dir, "train"), ft.CATEGORICAL)
 
 
-@query("standard_scale", sql(TRAIN, " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, avg(coalesce({c}, m.median)) AS mean, stddev_pop(coalesce({c}, m.median)) AS std FROM train, (SELECT median FROM medians WHERE feature = '{c}') m"
-    for c in _PLAIN), ["mean", "std"]))
+@query("standard_scale", sql(ALL_INPUTS, """
+  SELECT feature, round(avg(x), 6) + 0.0 AS mean, CASE WHEN max(x) = min(x) THEN 1.0 ELSE round(stddev_pop(x), 6) END::DOUBLE AS std
+  FROM (SELECT feature, CASE WHEN isnan(v) THEN median ELSE v END AS x FROM tall JOIN medians USING (feature)) GROUP BY feature"""))
 def scale(spark, sf_dir):
     train = part(spark, sf_dir, "train")
-    fills = {r.feature: r.median for r in ft.exact_medians(train, _PLAIN).collect()}  # one row per column
-    return ft.scale_statistics(ft.impute(train, fills), _PLAIN)
+    fills = {r.feature: r.median for r in ft.exact_medians(train, _NUMERIC).collect()}  # one row per column
+    return _six(ft.scale_statistics(ft.impute(train, fills), _NUMERIC), "mean", "std")
 
 
 @query("one_hot", sql([*TRAIN, *[

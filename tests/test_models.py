@@ -41,6 +41,25 @@ def test_exact_medians_and_modes(spark):
     assert ft.modes(tie, ["c"]).first().mode == "a"
 
 
+def test_medians_by_digits(spark):
+    """Signs, infinities, equal values, missing ones and columns without any."""
+    rnd = random.Random(7)
+    draw = {
+        "wide": lambda: rnd.choice([-1, 1]) * 10 ** rnd.uniform(-300, 300), "near": lambda: 1.0 + rnd.random() * 1e-12,
+        "signs": lambda: rnd.choice([-0.0, 0.0, -2.5, 2.5, None]), "none": lambda: None, "ends": lambda: rnd.choice([float("-inf"), 1.0, float("inf")]),
+    }
+    for size in (1, 2, 37, 200):
+        rows = [tuple(f() for f in draw.values()) for _ in range(size)]
+        got = {r.feature: r.median for r in ft.exact_medians(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in draw)).repartition(3), list(draw)).collect()}
+        for at, c in enumerate(draw):
+            values = sorted(r[at] for r in rows if r[at] is not None)
+            if not values:
+                assert c not in got
+                continue
+            want = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+            assert got[c] == want or got[c] != got[c] and want != want, (size, c)
+
+
 def _newton(x, y, w, C):
     """Weighted L2 logistic regression with a free intercept, by Newton steps."""
     X = np.c_[x, np.ones(len(x))]
