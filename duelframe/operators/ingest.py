@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelframe.functions.coerce import category_upper, coerce_numeric, parse_yyyymmdd, to_double
 from duelframe.operators.ordering import global_index
+from duelframe.sources.files import survey_csv, yearly_files
 
 _PERSON = ("id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points")
 _BOX = ("ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced")
@@ -103,3 +105,31 @@ def process_contests(raw: DataFrame, walkovers: bool = True, retirements: bool =
         {"tourney_date": parse_yyyymmdd("tourney_date"), "surface": category_upper("surface")}
     )
     return drop_voided(typed, walkovers, retirements)
+
+
+#: Order in which contests without a number are numbered within their event.
+NUMBERING = ("tourney_date", "winner_id", "loser_id", "winner_name", "loser_name", "score", "round", "minutes")
+
+
+def build_from_years(
+    spark: SparkSession, root: str, years: Sequence[int], source: str, reference: DataFrame | None = None,
+    year: str = r"(\d{4})\.csv$", walkovers: bool = True, retirements: bool = True, numbering: Sequence[str] = NUMBERING,
+) -> tuple[DataFrame, list[int]]:
+    """Processed contests of another source's yearly files in order of their dates, and the years without a file.
+
+    Each kind of header is harmonised by itself, as files of one source name
+    their columns differently over the years; contests outside of the dates of
+    ``reference`` are left out, and missing numbers are filled last.
+    """
+    paths, missing = yearly_files(spark, root, years, year)
+    out = None
+    for (header, encoding), group in survey_csv(spark, paths).items():
+        text = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+        read = text.option("header", True).option("encoding", encoding).csv(group)
+        season = F.regexp_extract("_metadata.file_path", year, 1).try_cast("int")
+        part = harmonise(read.drop("season").withColumn("season", season), source)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(f"only empty files in {root}")
+    kept = within_dates_of(process_contests(out, walkovers, retirements), reference)
+    return fill_sequence_number(kept, list(numbering)).orderBy("tourney_date"), missing

@@ -222,13 +222,17 @@ def calibrate(calibrator: IsotonicCalibrator | SigmoidCalibrator, scored: DataFr
 
 def choose_calibration(versions: dict[str, DataFrame]) -> str:
     """Name of the version with the smallest validation log loss; earlier ones win ties."""
+    return calibration_choices(versions).first()["chosen"]
+
+
+def calibration_choices(versions: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """Per branch, the version with the smallest validation log loss (to 12 places; earlier ones win ties) and that loss."""
     losses = None
     for i, (name, scored) in enumerate(versions.items()):
-        one = scored.agg(F.avg(log_loss(F.col("y_true"), F.col(PROB))).alias("loss")).select(
-            F.lit(name).alias("name"), F.lit(i).alias("priority"), "loss"
-        )
+        loss = F.avg(log_loss(F.col("y_true"), F.col(PROB)))
+        one = scored.groupBy(*by).agg(F.struct(F.round(loss, 12).alias("near"), F.lit(i).alias("at"), F.lit(name).alias("name"), loss.alias("loss")).alias("v"))
         losses = one if losses is None else losses.unionByName(one)
-    return losses.orderBy("loss", "priority").first()["name"]
+    return losses.groupBy(*by).agg(F.min("v").alias("v")).select(*by, F.col("v.name").alias("chosen"), F.col("v.loss").alias("validation_log_loss"))
 
 
 def feature_names(fitted: Fitted, scored: DataFrame) -> list[str]:

@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def summary(df: DataFrame, date: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, columns, dated rows, and the first and last date, in all or per file, tour, ..."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.count(date).alias("dated"),
+        F.min(date).alias("first_date"), F.max(date).alias("last_date"),
+    )
+
+
+def first_rows(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
+    """The first rows in a stated order, missing values last."""
+    return df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(rows)
+
+
 def value_counts(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
     """Most frequent values per field, nulls included, ties by value."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from duelframe.operators import experiments as ex
 from duelframe.operators import splits as sp
 from duelframe.operators.metrics import auc, binary_metrics
+from duelframe.operators.models import PROB, calibration_choices
 from duelframe.plans import fixtures as fx
 from duelframe.plans.oracle_base import CONTESTS, PREDICTIONS, RUNS
 from duelframe.plans.registry import query, sql
@@ -235,17 +236,8 @@ def gaps(spark, sf_dir):
     "SELECT tour, (list(method ORDER BY round(loss, 12), pr))[1] AS chosen, min(loss) AS validation_log_loss FROM per GROUP BY tour", ["validation_log_loss"]))
 def choice(spark, sf_dir):
     """Raw, stepwise and shrunken probabilities: the smallest validation loss wins, earlier methods on ties."""
-    p = F.col("prob_player_a_win")
-    made = F.array(
-        F.struct(F.lit("raw").alias("method"), F.lit(1).alias("priority"), p.alias("p")),
-        F.struct(F.lit("isotonic").alias("method"), F.lit(2).alias("priority"),
-                 F.least(F.greatest(F.floor(p * 20) / 20, F.lit(0.025)), F.lit(0.975)).alias("p")),
-        F.struct(F.lit("sigmoid").alias("method"), F.lit(3).alias("priority"), (0.5 + (p - 0.5) * 0.8).alias("p")),
-    )
-    rows = parted(spark, sf_dir).filter("split = 'validation'").select("tour", "y_true", F.explode(made).alias("c")).select("tour", "y_true", "c.*")
-    from duelframe.operators.metrics import log_loss
-
-    losses = rows.groupBy("tour", "method", "priority").agg(F.avg(log_loss(F.col("y_true"), F.col("p"))).alias("loss"))
-    return losses.groupBy("tour").agg(
-        ex.best_by(F.round("loss", 12), F.col("method"), F.col("priority")).alias("chosen"), F.min("loss").alias("validation_log_loss")
-    )
+    p = F.col(PROB)
+    rows = parted(spark, sf_dir).filter("split = 'validation'").select("tour", "y_true", PROB)
+    steps = F.least(F.greatest(F.floor(p * 20) / 20, F.lit(0.025)), F.lit(0.975))
+    versions = {"raw": rows, "isotonic": rows.withColumn(PROB, steps), "sigmoid": rows.withColumn(PROB, 0.5 + (p - 0.5) * 0.8)}
+    return calibration_choices(versions, ["tour"])

@@ -180,13 +180,28 @@ def processed(spark, sf_dir):
     )
 
 
-_DUMPED = {"match_num": "bigint", "tour": "string", "tourney_date": "date", "winner_id": "string", "loser_id": "string", "w_ace": "double"}
+_ALL = ("tour", *ingest.CONTEST_COLUMNS)
 
 
-@query("schema_dump", sql([CONTESTS], "SELECT c.column_name, c.data_type, (SELECT count(*) FROM contests)::BIGINT AS rows FROM (VALUES "
-    + ", ".join(f"('{n}', '{t}')" for n, t in _DUMPED.items()) + ") c(column_name, data_type)"))
+@query("schema_dump", sql([CONTESTS], "SELECT column_name, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(kind) END AS data_type, rows FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, any_value(typeof(\"{c}\")) AS kind, count(*)::BIGINT AS rows FROM contests" for c in _ALL) + ")"))
 def dump(spark, sf_dir):
-    return profile.schema_dump(fx.contests(spark, sf_dir).select(*_DUMPED))
+    return profile.schema_dump(fx.contests(spark, sf_dir))
+
+
+@query("profile_summary", sql([CONTESTS], f"""
+  SELECT tour, count(*)::BIGINT AS rows, {len(_ALL)}::BIGINT AS columns, count(tourney_date)::BIGINT AS dated,
+    min(tourney_date) AS first_date, max(tourney_date) AS last_date FROM contests GROUP BY tour"""))
+def summary(spark, sf_dir):
+    return profile.summary(fx.contests(spark, sf_dir).select(*_ALL), "tourney_date", ["tour"])
+
+
+_FIRST = ["tourney_date", "tourney_id", "match_num", "winner_id", "loser_id", "score"]
+
+
+@query("profile_first_rows", sql([CONTESTS], f"SELECT {', '.join(_FIRST)} FROM contests ORDER BY {', '.join(_FIRST)} LIMIT 5"))
+def first(spark, sf_dir):
+    return profile.first_rows(fx.contests(spark, sf_dir).select(*_FIRST), _FIRST)
 
 
 @query("profile_counts", sql([CONTESTS], """
@@ -217,3 +232,35 @@ def level_round(spark, sf_dir):
   FROM contests""", ["ret_share", "walkover_share"]))
 def fractions(spark, sf_dir):
     return profile.text_share(fx.contests(spark, sf_dir), "score", {"ret_share": "RET", "walkover_share": "W/O"})
+
+
+_SECOND = ["season", "tourney_id", "match_num", "tourney_date", "winner_id", "loser_id", "winner_name", "loser_name", "score", "round", "minutes", "surface"]
+_SECOND_ORDER = [c for c in _SECOND if c not in ("season", "tourney_id", "match_num")]
+
+
+@query("second_source_build", sql([CONTESTS, RAW, r"""
+  second AS (SELECT season, tourney_id, n, try_strptime(trim(regexp_replace(date_text, '\.0$', '')), '%Y%m%d')::DATE AS tourney_date,
+      winner_id, loser_id, winner_name || ' é' AS winner_name, loser_name, score, round, minutes::DOUBLE AS minutes, upper(trim(surface_text)) AS surface
+    FROM (SELECT *, year(tourney_date)::INTEGER AS season, CASE WHEN match_num % 3 > 0 THEN match_num END AS n FROM raw)
+    WHERE season BETWEEN 1990 AND 1999 AND NOT (upper(score) LIKE '%W/O%' OR upper(score) LIKE '%RET%')),
+  near AS (SELECT * FROM second WHERE tourney_date BETWEEN (SELECT min(tourney_date) FROM contests WHERE tour = 'ASIA' AND year(tourney_date) > 1992)
+    AND (SELECT max(tourney_date) FROM contests WHERE tour = 'ASIA' AND year(tourney_date) > 1992))"""],
+  f"""SELECT * REPLACE (CASE WHEN match_num IS NULL THEN 99999 + row_number() OVER (PARTITION BY season, tourney_id, match_num IS NULL
+      ORDER BY {', '.join(_SECOND_ORDER)}) ELSE match_num END::BIGINT AS match_num) FROM (SELECT * RENAME (n AS match_num) FROM near)"""))
+def second_source(spark, sf_dir):
+    """Yearly files of another source, with other names and Latin-1 text in later years, and years asked for that have none."""
+    root = fresh_path(spark, "second-source")
+    raw = raw_contests(spark, sf_dir).select(
+        "tourney_id", F.col("date_text").alias("tourney_date"), F.col("surface_text").alias("surface"), "winner_id", "loser_id",
+        F.concat("winner_name", F.lit(" é")).alias("winner_name"), "loser_name", "score", "round", "minutes", "w_ace",
+        F.when(F.col("match_num") % 3 > 0, F.col("match_num")).alias("match_num"), F.year("tourney_date").alias("year"),
+    )
+    late = raw.drop("w_ace").withColumnsRenamed(
+        {"tourney_id": "tournament_id", "tourney_date": "date", "winner_name": "winner", "loser_name": "loser", "minutes": "mins"}
+    )
+    for part, folder, encoding in ((raw.filter("year < 1996"), "early", "UTF-8"), (late.filter("year >= 1996"), "late", "ISO-8859-1")):
+        part.write.partitionBy("year").option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{root}/{folder}")
+    reference = fx.contests(spark, sf_dir).filter("tour = 'ASIA' and year(tourney_date) > 1992")
+    built, _ = ingest.build_from_years(spark, root, range(1990, 2000), "second", reference, r"year=(\d{4})/", numbering=_SECOND_ORDER)
+    return built.select(*_SECOND)

@@ -9,7 +9,7 @@ from duelframe.functions import probability as pr
 from duelframe.functions.points import label_count, split_points
 from duelframe.operators import snapshots as sn
 from duelframe.operators.metrics import binary_metrics, checkpoint_metrics
-from duelframe.operators.scoring import scoring_features, with_prematch
+from duelframe.operators.scoring import scoring_features, with_prematch, with_start_state
 from duelframe.operators.splits import split_label
 from duelframe.operators.pairing import keep_model_rounds, pair_wide
 from duelframe.plans import fixtures as fx
@@ -158,6 +158,30 @@ def start_state(spark, sf_dir):
     return binary_metrics(scored, ["tour", "surface", "split"], "y", "p", 1e-6)
 
 
+def _kept(rate: str) -> str:
+    return f"least(greatest({rate}, 0.01), 0.99)"
+
+
+_ROUNDED = f"""
+rounded AS (SELECT match_id AS id, best_of, round({_kept(f"({_kept(_RATE('serve', 'a'))} + (1 - {_kept(_RATE('return', 'b'))})) / 2")}, 4) AS p_a,
+  round({_kept(f"({_kept(_RATE('serve', 'b'))} + (1 - {_kept(_RATE('return', 'a'))})) / 2")}, 4) AS p_b FROM wide)
+"""
+
+
+@query("start_state_rounded", sql([*HISTORY30, _ROUNDED, *score_ctes("rounded"),
+    f"""start AS (SELECT tour, surface, {_SPLIT_SQL} AS split, label_player_a_win AS y, round(least(greatest(win, 0.000001), 0.999999), 12) AS p
+        FROM wide JOIN won ON id = match_id WHERE {_SPLIT_SQL} <> 'train')""",
+    *metric_sql("start", "tour, surface, split", "y", "p", 1e-6)],
+    "SELECT * FROM m JOIN a USING (tour, surface, split)", METRICS))
+def start_state_rounded(spark, sf_dir):
+    """The live model at the start of a match, which rounds its inputs to four places, judged per branch."""
+    scored = with_start_state(_history_wide(spark, sf_dir), "_win").select(
+        "tour", "surface", split_label(fx.SPLIT).alias("split"), F.col("label_player_a_win").alias("y"),
+        F.round(F.least(F.greatest("_win", F.lit(1e-6)), F.lit(1 - 1e-6)), 12).alias("p"),
+    ).filter("split <> 'train'")
+    return binary_metrics(scored, ["tour", "surface", "split"], "y", "p", 1e-6)
+
+
 COUNTS = """
 counts AS (
   SELECT match_id, pt AS point_index,

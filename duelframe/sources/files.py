@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Sequence
 from urllib.parse import unquote
@@ -74,6 +75,39 @@ def _plain(path: str) -> str:
     return "/" + unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path)).lstrip("/")
 
 
+def yearly_files(spark: SparkSession, root: str, years: Iterable[int], year: str = r"(\d{4})\.csv$") -> tuple[list[str], list[int]]:
+    """Files under ``root`` that hold something and whose path names one of ``years`` by the pattern, and the years without one. None at all is an error."""
+    years = list(years)
+    named = list_files(spark, root).select("path", F.regexp_extract("path", year, 1).try_cast("int").alias("year"))
+    # one short row per file of the years asked for
+    found = named.where(F.col("year").isin(years)).orderBy("path").collect()
+    if not found:
+        raise FileNotFoundError(f"no files for years {years} in {root}")
+    return [r.path for r in found], sorted(set(years) - {r.year for r in found})
+
+
+def survey_csv(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[tuple[str, ...], str], list[str]]:
+    """Files by (header, encoding), read in one job however many and however unlike they are.
+
+    A file that is not valid UTF-8 throughout is Latin-1, which can decode any
+    byte. Empty files have no header and are left out.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+    )
+    seen = lines.groupBy("path").agg(
+        F.min_by(F.col("value").cast("binary"), "at").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    for r in sorted(seen.collect(), key=lambda r: r.path):  # one row per file
+        encoding = "UTF-8" if r.utf8 else "ISO-8859-1"
+        names = next(csv.reader([bytes(r.header).decode(encoding).removeprefix("\ufeff")]), [])
+        if names:
+            groups.setdefault((tuple(names), encoding), []).append(unquote(r.path))
+    return groups
+
+
 def split_by_encoding(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
     """Files that are valid UTF-8, and the others, judged line by line in parallel."""
     lines = spark.read.text(list(paths)).select(
