@@ -469,14 +469,16 @@ def learn(docs: DataFrame, marks: DataFrame) -> Network | float:
     """Network from a bounded sample of labelled documents; with one class only, the share of toxic ones (0 without labels).
 
     ``marks`` has (doc_id, toxic). The sample is chosen by id, so that only its
-    own texts are moved.
+    own texts are moved; of several short texts under one id the smallest is
+    taken, so that no more than the sample comes to the driver.
     """
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id")
-    labelled = spool(short.join(marks, "doc_id").distinct(), "toxicity-labels")
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    labelled = spool(short.select("doc_id").join(marks, "doc_id").distinct(), "toxicity-labels")
     lot = F.xxhash64("doc_id", F.lit(41))
     picked = [labelled.where(F.col("toxic") == k).orderBy(lot, "doc_id").limit(SAMPLE_DOCS) for k in (1, 0)]
     ids = spool(picked[0].unionByName(picked[1]), "toxicity-sample")  # at most 2 * SAMPLE_DOCS rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.desc("toxic"), F.xxhash64("doc_id", F.lit(41)), "text").toPandas()
+    own = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = own.orderBy(F.desc("toxic"), F.xxhash64("doc_id", F.lit(41)), "text").toPandas()
     marked = sample["toxic"].to_numpy(int)
     if not len(marked) or len(set(marked)) == 1:
         return float(marked.max(initial=0))

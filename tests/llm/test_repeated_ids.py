@@ -53,3 +53,16 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     got = near_vectors.near_duplicate_vectors(df).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)]
+
+
+def test_a_repeated_sampled_id_brings_one_text(spark, monkeypatch):
+    """Thousands of rows under a sampled id, some of them long, do not grow what the driver learns from."""
+    from duelframe.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marked, rate: seen.append((texts, list(marked))) or 0.5)
+    rows = [(1, f"text {k} of one id") for k in range(3000)] + [(1, "x" * (toxicity.SAMPLE_CHARS + 1)), (2, "another one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.learn(docs, marks)
+    assert seen == [(["text 0 of one id", "another one"], [1, 0])]
