@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Hashable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,19 @@ def forget_kept() -> None:
     _kept_by_worker().clear()
 
 
+def give_back() -> None:
+    """Return the free memory of this Python worker to the system.
+
+    A worker lives through all stages of a job: without this, what each needed at
+    its peak stays with the worker while the JVM and later stages grow.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _kept_by_worker() -> dict:
     return sys.modules["__main__"].__dict__.setdefault("_kept_by_worker", {})
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import fold_of, forget_kept, join_sized
+from duelframe.llm.common import fold_of, forget_kept, give_back, join_sized
 from duelframe.session import ship, spool
 
 MAX_N = 4
@@ -30,6 +30,8 @@ PROFILE = 400
 SAMPLE_DOCS = 2000
 UNKNOWN = "und"
 BLOCK = 1 << 20
+#: Counts of so many n-grams wait at most before they are added up.
+HELD_GRAMS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,35 @@ def count_grams(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
 
 
+def added_up(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several counts, and their sums."""
+    keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[firsts], np.add.reduceat(counts, firsts).astype(np.int64) if len(keys) else np.empty(0, np.int64)
+
+
+class GramTotals:
+    """Counts of the n-grams of many texts: those of the latest texts wait, up to ``HELD_GRAMS``, and are then added to the rest."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.found.append((keys, counts))
+        self.waiting += len(keys)
+        # never less than what is added up already, so that rare n-grams are not sorted again and again
+        if self.waiting > max(HELD_GRAMS, len(self.found[0][0])):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        self.found = [added_up(self.found)] if self.found else [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        self.waiting = 0
+        return self.found[0]
+
+
 def most_frequent(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent keys, most frequent first, ties to the smaller key."""
     if len(keys) > size:
@@ -144,16 +175,16 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_kept()
-        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        totals: dict[str, GramTotals] = {}
         for batch in batches:
-            for name, texts in batch.groupby("lang")["text"]:
-                found = [count_grams(letters_of(value, letters)) for value in texts]
-                if name in totals:
-                    found.append(totals[name])
-                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                totals[name] = keys, np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
-        for name, (keys, counts) in totals.items():
-            yield pd.DataFrame({"lang": name, "gram": keys, "n": counts})
+            for name, value in zip(batch["lang"], batch["text"]):
+                totals.setdefault(name, GramTotals()).add(*count_grams(letters_of(value, letters)))
+        for name in list(totals):
+            keys, counts = totals.pop(name).sums()
+            for at in range(0, len(keys), HELD_GRAMS):
+                yield pd.DataFrame({"lang": name, "gram": keys[at : at + HELD_GRAMS], "n": counts[at : at + HELD_GRAMS]})
+            del keys, counts
+        give_back()
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -172,7 +203,9 @@ def language_of(text: str, profiles: Profiles) -> Column:
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def identify(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t, profiles) for t in texts], columns=["lang", "score"])
+        found = pd.DataFrame([judge(t, profiles) for t in texts], columns=["lang", "score"])
+        give_back()
+        return found
 
     return identify(F.col(text))
 

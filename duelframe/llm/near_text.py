@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import connected_components, forget_kept, fresh_name, join_sized
+from duelframe.llm.common import connected_components, forget_kept, fresh_name, give_back, join_sized
 from duelframe.session import ship, spool
 
 WORDS, PERCENT = 3, 85
@@ -259,6 +259,7 @@ def _classed(docs: DataFrame, id_column: str, text_column: str, words: int, perc
             columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(sig, pa.binary()),
                        pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "h1", "h2", "sig", "bands"])
+            give_back()
 
     signed = spool(
         rows.mapInArrow(sign, "doc_id long, same long, n long, h1 long, h2 long, sig binary, bands array<long>"), "near-signatures"
@@ -289,6 +290,8 @@ def _classed(docs: DataFrame, id_column: str, text_column: str, words: int, perc
                 "doc_id": batch["doc_id"], "n": [len(f) for f in every], "h1": [_sum_of(f) for f in every], "h2": [_other_of(f) for f in every],
                 "shingles": [f.tobytes() for f in every],
             })
+            del every
+            give_back()
 
     wanted = spool(join_sized(classes.drop("copies"), groups.select("rep"), ["rep"]).withColumnRenamed("name", "doc_id"), "near-wanted")
     texts = join_sized(rows.drop("same"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import fold_of, once_per_worker
+from duelframe.llm.common import fold_of, give_back, once_per_worker
 from duelframe.session import ship, spool
 
 #: Words of a window, and the words by which the next one starts later.
@@ -497,7 +497,9 @@ def toxicity_of(text: str, model: Network | float) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         scorer = once_per_worker("toxicity", key, lambda: Scorer(model))
-        return pd.Series(scorer.scores([t if isinstance(t, str) else None for t in texts]))
+        found = pd.Series(scorer.scores([t if isinstance(t, str) else None for t in texts]))
+        give_back()
+        return found
 
     return score(shared)
 

@@ -74,3 +74,20 @@ def test_judgements_against_a_slow_distance(spark, docs):
         }
         best = min(sorted(away), key=away.get)
         assert li.judge(text, profiles) == (best, pytest.approx(1 - away[best] / (li.PROFILE * len(top))))
+
+
+def test_counts_are_added_up_as_they_come(monkeypatch):
+    """However many texts are counted, no more waits than HELD_GRAMS or what is added up already; the sums are those of all."""
+    monkeypatch.setattr(li, "HELD_GRAMS", 500)
+    rng, letters = random.Random(8), li.letter_mask()
+    texts = [" ".join(words(rng, ALPHABETS["latin"][:8], 30)) for _ in range(200)] + ["", "1 2", "é"]
+    held, want, most = li.GramTotals(), Counter(), 0
+    for text in texts:
+        keys, counts = li.count_grams(li.letters_of(text, letters))
+        held.add(keys, counts)
+        want.update(dict(zip(keys.tolist(), counts.tolist())))
+        most = max(most, sum(len(k) for k, _ in held.found))
+    keys, counts = held.sums()
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and (li.np.diff(keys) > 0).all()
+    assert most <= 2 * len(want) + 1500
+    assert [len(part) for part in li.GramTotals().sums()] == [0, 0]
