@@ -74,7 +74,7 @@ def once_per_worker(slot: str, key: Hashable, build: Callable[[], object]) -> ob
     """
     kept = _kept_by_worker()
     if (slot, key) not in kept:
-        kept.clear()
+        forget_kept()
         kept[slot, key] = build()
     return kept[slot, key]
 
@@ -82,6 +82,7 @@ def once_per_worker(slot: str, key: Hashable, build: Callable[[], object]) -> ob
 def forget_kept() -> None:
     """Let go of what earlier tasks of this Python worker have kept."""
     _kept_by_worker().clear()
+    give_back()
 
 
 def give_back() -> None:

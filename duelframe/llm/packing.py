@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from duelframe.llm.common import once_per_worker
+from duelframe.llm.common import give_back, once_per_worker
 from duelframe.session import ship
 
 SIZE = 2048
@@ -281,6 +281,7 @@ def pack_documents(
                 rows.extend(packer.add(name, ids, *boundaries(tokens.sentence_ends(ids[:-1]), len(ids), size)))
                 if len(rows) >= 2000:
                     yield batch()
+            give_back()
         rows.extend(packer.finish())
         if rows:
             yield batch()
